@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.sources.shared import materialise, remove, shared_dir, shared_path  # noqa: F401
+
 #: ASCII white space that separates words: space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,23 +16,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="codequarry-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back, so that lineage ends at replicated storage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codequarry/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hash_bucket(key: Column, modulus: int) -> Column:
     """A bucket from 0 that an ANSI SQL engine can reproduce: leading 28 bits of md5 over the key as text; null as ''."""
     text = F.coalesce(key.cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, sharding, simhash
 from ._common import read_table
 
 
@@ -14,9 +14,13 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op4_sharding": op4_sharding, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
 ORACLES = {"op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
