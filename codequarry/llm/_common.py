@@ -30,3 +30,16 @@ def salted(key: Column, salts: int) -> Column:
 def every_salt(salts: int) -> Column:
     """To replicate the small side of a salted join."""
     return F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+
+
+def map_texts(rows: DataFrame, batches, schema: str, most_rows: int = 1000) -> DataFrame:
+    """mapInPandas with Arrow batches of few rows, so that a worker's memory is bounded by a few long texts."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= most_rows:
+        conf.set(key, str(most_rows))
+    return rows.mapInPandas(batches, schema)
+
+
+def kind(df: DataFrame, column: str) -> str:
+    """A column's type as text, for the schema of a Python function."""
+    return df.schema[column].dataType.simpleString()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, simhash
+from . import langid, mixing, secrets, sharding, simhash
 from ._common import read_table
 
 
@@ -14,6 +14,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs, F.col("doc_id")).select("doc_id", "slot", "shard")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -22,5 +30,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op4_sharding": op4_sharding, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
 ORACLES = {"op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
