@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, secrets, sharding, simhash
+from . import decontaminate, langid, mixing, quality, secrets, sharding, simhash
 from ._common import read_table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id")).select("doc_id", "slot", "shard")
@@ -18,6 +22,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_sample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(read_table(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_sharding": op4_sharding, "op5_langid": op5_langid, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
-ORACLES = {"op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
+ORACLES = {"op2_decontamination": decontaminate.CONTAINED_SQL, "op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
