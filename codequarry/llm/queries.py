@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, secrets, sharding, simhash
+from . import decontaminate, langid, mixing, quality, secrets, sharding, simhash, tokens
 from ._common import read_table
 
 
@@ -34,9 +34,20 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The vocabulary file that op9 encodes with, as installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(read_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op10_mixing": op10_mixing}
+QUERIES = {"op2_decontamination": op2_decontamination, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_tokens": op9_tokens, "op10_mixing": op10_mixing}
 ORACLES = {"op2_decontamination": decontaminate.CONTAINED_SQL, "op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
