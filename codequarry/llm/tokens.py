@@ -106,9 +106,9 @@ def _learn(fresh: set[str], known: dict[str, bytes], path: str) -> None:
         core = low.rstrip(_SIGNS)
         if core.isalpha() and (core.isascii() or core == core.lower()):
             cut[w] = core, low[len(core) :]
-    cores = sorted({c for c, _ in cut.values()} - known.keys())
+    cores = sorted({c for c, _ in cut.values() if c not in known})
     known.update(zip(cores, _encode_letters(cores, path), strict=True))
-    rest = sorted(({e for _, e in cut.values() if e} | (fresh - cut.keys())) - known.keys())
+    rest = sorted({e for _, e in cut.values() if e and e not in known} | {w for w in fresh if w not in cut})
     for w, e in zip(rest, _tokenizer(path).encode_batch_fast(rest, add_special_tokens=False), strict=True):
         known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
     for w, (core, end) in cut.items():
