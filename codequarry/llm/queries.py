@@ -5,14 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, mixing, quality, secrets, sharding, simhash, tokens
+from . import decontaminate, fingerprints, langid, linededup, mixing, quality, secrets, sharding, simhash, tokens
 from ._common import read_table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id")).select("doc_id", "slot", "shard")
@@ -49,5 +57,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_tokens": op9_tokens, "op10_mixing": op10_mixing}
-ORACLES = {"op2_decontamination": decontaminate.CONTAINED_SQL, "op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontamination": op2_decontamination, "op3_linededup": op3_linededup, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_tokens": op9_tokens, "op10_mixing": op10_mixing}
+ORACLES = {"op2_decontamination": decontaminate.CONTAINED_SQL, "op3_linededup": linededup.LINES_SQL, "op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}
