@@ -115,6 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents that are the smallest doc_id of their component; of repeated rows with that doc_id, one. Columns as in docs."""
-    firsts = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    firsts = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    firsts = materialise(firsts, "simhash-firsts")
     kept = docs.alias("d").join(firsts.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    return kept if firsts.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
