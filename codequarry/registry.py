@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from codequarry.plans import graph, text
+
+SPECS = [*graph.specs.found, *text.specs.found]
+QUERIES = {s.name: s.run for s in SPECS}
+ORACLES = {s.name: s.sql for s in SPECS if s.sql}
