@@ -32,11 +32,15 @@ def every_salt(salts: int) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in range(salts)]))
 
 
-def map_texts(rows: DataFrame, batches, schema: str, most_rows: int = 1000) -> DataFrame:
-    """mapInPandas with Arrow batches of few rows, so that a worker's memory is bounded by a few long texts."""
+def small_batches(rows: DataFrame, most_rows: int = 1000) -> None:
+    """Have Arrow batches hold few rows, so that a worker's memory is bounded by a few long texts."""
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "10000")) <= most_rows:
         conf.set(key, str(most_rows))
+
+
+def map_texts(rows: DataFrame, batches, schema: str, most_rows: int = 1000) -> DataFrame:
+    small_batches(rows, most_rows)
     return rows.mapInPandas(batches, schema)
 
 

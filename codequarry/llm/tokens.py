@@ -1,7 +1,7 @@
 """Token ids written in a binary format compressed by Re-Pair grammars, with random access.
 
-Documents stand in ascending doc_id order over range partitions; each partition's ids are cut into shards of about SHARD_IDS ids, and
-each shard is compressed on its own. Re-Pair replaces frequent neighbouring ids by new symbols, round by round; a round replaces the
+Documents stand in ascending doc_id order over range partitions; each partition's documents are cut into shards of about SHARD_BYTES bytes
+of text, and each shard is compressed on its own. Re-Pair replaces frequent neighbouring ids by new symbols, round by round; a round replaces the
 PAIRS most frequent pairs at once, left to right. Rules are stored with the number of ids that each symbol expands to, so a document's ids can be
 found and decoded without the rest of the shard.
 
@@ -15,56 +15,54 @@ reads will do. A shard's payload, all integers little-endian:
     uint32[docs]      ids of each document (its end id included)
     uint32[symbols]   the documents' symbols, one after the other
 
-The three last parts and the rules are deflated together. END stands for a document's end id within a shard, so that no rule spans two documents.
+All parts after the counts are one zstandard frame. END stands for a document's end id within a shard, so that no rule spans two documents.
 """
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import kind, map_texts, shared_path
+from ._common import kind, map_texts, shared_path, small_batches
 
-END_ID, SHARD_IDS, ROUNDS, PAIRS, LEAST = 2, 4_000_000, 4, 256, 16
+END_ID, SHARD_BYTES, ROUNDS, PAIRS, LEAST = 2, 8 << 20, 4, 256, 16
 BASE, END = 1 << 20, (1 << 32) - 1
-_HASH_BITS, _CACHE = 20, 1_500_000
+_HASH_BITS, _STEP, _TOGETHER = 18, 100, 2000
+#: Signs that the tokenizer splits from letters beside them; code points that Arrow takes for white space, or lower-cases otherwise, than it does.
+_CUT, _UNLIKE = r"^(?P<core>(?s:.*?))(?P<end>[.,!?#%&*$|;:()]*)$", "[\x1c-\x1f\u0130]"
 _MAGIC = b"RPG1"
 
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-_known: dict[str, dict[str, bytes]] = {}
-#: Signs that the tokenizer splits from letters beside them.
-_SIGNS = ".,!?#%&*$|;:()"
-_TOGETHER = 2000
-#: Code points that Python counts as white space and the tokenizer doesn't; texts with one are encoded whole.
-_UNLIKE = ("\x1c", "\x1d", "\x1e", "\x1f")
-
+@lru_cache(maxsize=2)
+def _letter_tokenizer(path: str):
+    """The same model for lower-case words of letters, which need neither the pattern nor the composition of the whole."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-def _encode_letters(words: list[str], path: str) -> list[bytes]:
-    """Ids of lower-case words of letters, encoded many to a text; a word's last id is the one whose token ends the word."""
-    t, out = _tokenizer(path), []
-    texts = [" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
-    for k, e in enumerate(t.encode_batch_fast(texts, add_special_tokens=False)):
-        ids = np.array(e.ids, dtype=np.uint32)
-        ends = np.nonzero(_word_ends(path)[ids])[0] + 1
-        part = words[k * _TOGETHER : (k + 1) * _TOGETHER]
-        if len(ends) != len(part):
-            return [np.array(e.ids, dtype=np.uint32).tobytes() for e in t.encode_batch_fast(words, add_special_tokens=False)]
-        out += [x.tobytes() for x in np.split(ids, ends[:-1])]
-    return out
+    t = Tokenizer.from_str(_tokenizer(path).to_str())
+    t.normalizer = normalizers.Lowercase()
+    t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t
 
 
 @lru_cache(maxsize=2)
@@ -75,80 +73,129 @@ def _word_ends(path: str) -> np.ndarray:
     return ends
 
 
-def encode(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids (uint32) of whole texts without special tokens.
+def _encode_each(words: list[str], path: str) -> list[np.ndarray]:
+    return [np.array(e.ids, dtype=np.uint32) for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+
+
+def _encode_letters(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids a word) of lower-case words of letters, encoded many to a text; a word's last id is the one whose token ends the word."""
+    texts = [" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+    found, sizes = [], []
+    for k, e in enumerate(_letter_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(e.ids, dtype=np.uint32)
+        part = words[k * _TOGETHER : (k + 1) * _TOGETHER]
+        n = np.diff(np.nonzero(_word_ends(path)[ids])[0], prepend=-1)
+        if len(n) != len(part):
+            each = _encode_each(part, path)
+            ids, n = np.concatenate(each), np.array([len(x) for x in each])
+        found.append(ids)
+        sizes.append(n)
+    return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+
+
+def _numbered(values: pa.Array) -> tuple[list[str], np.ndarray]:
+    d = values.dictionary_encode()
+    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The ids of pieces `which`, one after the other; ids and sizes are of all pieces in turn."""
+    first, n = np.cumsum(sizes) - sizes, sizes[which]
+    at = np.repeat(first[which] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return ids[at]
+
+
+def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids as uint32, ids a text) of whole texts without special tokens; null texts have none.
 
     The tokenizer lower-cases, drops white space, never joins what it separates, and splits signs from letters. So the ids of a text are those of its
-    parts between white space, and those of a part are those of its letters and of the signs at its end. Each is encoded once a worker and
-    kept in a cache of bounded size.
+    parts between white space, and those of a part are those of its letters and of the signs at its end. Each distinct piece is encoded once, and
+    the texts' ids are gathered from the pieces'.
     """
-    known = _known.setdefault(path, {})
-    if len(known) > _CACHE:
-        known.clear()
-    split = [[] if not t or any(c in t for c in _UNLIKE) else t.split() for t in texts]
-    found = [list(map(known.get, parts)) for parts in split]
-    lacking = [{w for w, ids in zip(parts, f, strict=True) if ids is None} if None in f else () for parts, f in zip(split, found, strict=True)]
-    fresh = set().union(*lacking)
-    if fresh:
-        _learn(fresh, known, path)
-        found = [list(map(known.__getitem__, parts)) if lack else f for parts, f, lack in zip(split, found, lacking, strict=True)]
-    out = [np.frombuffer(b"".join(f), dtype=np.uint32) for f in found]
-    for k, t in enumerate(texts):
-        if t and any(c in t for c in _UNLIKE):
-            out[k] = np.array(_tokenizer(path).encode(t, add_special_tokens=False).ids, dtype=np.uint32)
-    return out
-
-
-def _learn(fresh: set[str], known: dict[str, bytes], path: str) -> None:
-    cut = {}
-    for w in fresh:
-        low = w.lower() if w.isascii() else w
-        core = low.rstrip(_SIGNS)
-        if core.isalpha() and (core.isascii() or core == core.lower()):
-            cut[w] = core, low[len(core) :]
-    cores = sorted({c for c, _ in cut.values() if c not in known})
-    known.update(zip(cores, _encode_letters(cores, path), strict=True))
-    rest = sorted({e for _, e in cut.values() if e and e not in known} | {w for w in fresh if w not in cut})
-    for w, e in zip(rest, _tokenizer(path).encode_batch_fast(rest, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, dtype=np.uint32).tobytes()
-    for w, (core, end) in cut.items():
-        known[w] = known[core] + known[end] if end else known[core]
-
-
-def _apart(at: np.ndarray) -> np.ndarray:
-    """Ascending positions without neighbours: in a run of neighbouring positions, every second from its start."""
-    if not len(at):
-        return at
+    texts = pc.fill_null(texts, "")
+    unlike = np.nonzero(pc.match_substring_regex(texts, _UNLIKE).to_numpy(zero_copy_only=False))[0]
+    if len(unlike):
+        keep = np.ones(len(texts), dtype=bool)
+        keep[unlike] = False
+        split = pc.utf8_split_whitespace(pc.if_else(pa.array(keep), texts, ""))
+    else:
+        split = pc.utf8_split_whitespace(texts)
+    word = split.flatten().dictionary_encode()
+    distinct, at = word.dictionary, word.indices.to_numpy(zero_copy_only=False)
+    cut = pc.extract_regex(pc.utf8_lower(distinct), _CUT)
+    core, end = cut.field("core"), cut.field("end")
+    cores, core_of = _numbered(core)
+    ends, end_of = _numbered(end)
+    whole = np.array([c.isalpha() and (c.isascii() or is_normalized("NFC", c)) for c in cores], dtype=bool) if cores else np.zeros(0, dtype=bool)
+    easy = whole[core_of]  # words whose ids are those of their letters and of their signs
+    hard = distinct.filter(pa.array(~easy)).to_pylist()
+
+    letter_ids, letter_sizes = _encode_letters([c for c, w in zip(cores, whole, strict=True) if w], path)
+    others = _encode_each(ends, path) + _encode_each(hard, path)
+    ids = np.concatenate([letter_ids, *others]) if others else letter_ids
+    sizes = np.concatenate([letter_sizes, np.array([len(x) for x in others], dtype=np.int64)]).astype(np.int64)
+    # Two pieces a word: letters and signs, or the word as it is and the empty sign.
+    pieces = np.empty((len(distinct), 2), dtype=np.int64)
+    pieces[easy, 0] = (np.cumsum(whole) - 1)[core_of[easy]]
+    pieces[easy, 1] = len(letter_sizes) + end_of[easy]
+    pieces[~easy, 0] = len(letter_sizes) + len(ends) + np.arange(len(hard))
+    pieces[~easy, 1] = len(sizes)
+    sizes = np.append(sizes, 0)
+    word_ids = _gather(ids, sizes, pieces.ravel())
+    word_sizes = sizes[pieces].sum(axis=1)
+    flat = _gather(word_ids, word_sizes, at)
+    upto = np.concatenate([[0], np.cumsum(word_sizes[at])])
+    bounds = split.offsets.to_numpy(zero_copy_only=False)
+    counts = upto[bounds[1:] - bounds[0]] - upto[bounds[:-1] - bounds[0]]
+    if len(unlike):
+        each = np.split(flat, np.cumsum(counts)[:-1])
+        for k, x in zip(unlike, _encode_each([texts[int(k)].as_py() for k in unlike], path), strict=True):
+            each[k], counts[k] = x, len(x)
+        flat = np.concatenate(each)
+    return flat, counts
+
+
+def _apart(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the ascending positions that are in odd place in a run of neighbours, so that none are neighbours; and a mask for them."""
     index = np.arange(len(at))
-    start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, index, 0))
-    return at[(index - start) % 2 == 0]
+    start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, index, 0)) if len(at) else index
+    odd = (index - start) % 2 == 0
+    return at[odd], odd
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules) for ids in which END closes each document. A round costs time in proportion to the symbols left."""
-    x, rules = ids.astype(np.uint64), []
+    """(symbols, rules) for ids in which END closes each document. A round costs time in proportion to the symbols left.
+
+    Pairs are first counted by hash; only those in the fullest slots, whose counts bound theirs from above, are counted exactly.
+    """
+    x, rules, slots = ids.astype(np.uint32), [], 1 << _HASH_BITS
     for _ in range(rounds):
         if len(x) < 2:
             break
-        keys = (x[:-1] << np.uint64(32)) | x[1:]
-        slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-        slot[(x[:-1] == END) | (x[1:] == END)] = -1
-        counts = np.bincount(slot[slot >= 0], minlength=1 << _HASH_BITS)
-        bound = max(least, int(np.partition(counts, -2 * pairs)[-2 * pairs]))  # a slot's count is no less than its pairs' counts
-        here = np.nonzero((counts[slot] >= bound) & (slot >= 0))[0]
-        found, n = np.unique(keys[here], return_counts=True)
+        slot = (x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
+        ends = np.nonzero(x == END)[0]
+        slot[ends[ends < len(slot)]] = slots
+        slot[ends[ends > 0] - 1] = slots
+        counts = np.bincount(slot, minlength=slots + 1)
+        counts[slots] = 0
+        full = counts >= max(least, int(np.partition(counts, -2 * pairs)[-2 * pairs]))
+        here = np.nonzero(full[slot])[0]
+        keys = x[here].astype(np.uint64) << np.uint64(32) | x[here + 1]
+        found, n = np.unique(keys, return_counts=True)
         best = np.lexsort((found, -n))[:pairs]
         best = np.sort(found[best[n[best] >= least]])
         if not len(best):
             break
-        at = _apart(here[np.isin(keys[here], best)])
-        first = BASE + len(rules)
-        x[at] = first + np.searchsorted(best, keys[at]).astype(np.uint64)
+        rank = np.minimum(np.searchsorted(best, keys), len(best) - 1)
+        chosen = best[rank] == keys
+        at, apart = _apart(here[chosen])
+        x[at] = (BASE + len(rules) + rank[chosen][apart]).astype(np.uint32)
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
         x = x[keep]
         rules += [(int(k >> np.uint64(32)), int(k & np.uint64(END))) for k in best]
-    return x.astype(np.uint32), np.array(rules, dtype=np.uint32).reshape(-1, 2)
+    return x, np.array(rules, dtype=np.uint32).reshape(-1, 2)
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
@@ -191,7 +238,7 @@ def pack(ids: np.ndarray, n_ids: np.ndarray) -> bytes:
     ends = np.nonzero(symbols == END)[0]
     per_doc = np.diff(np.concatenate([[-1], ends]))
     parts = [rules, expansion_lengths(rules), per_doc, n_ids, symbols]
-    return _MAGIC + struct.pack("<3I", len(rules), len(n_ids), len(symbols)) + zlib.compress(b"".join(np.asarray(p).astype("<u4").tobytes() for p in parts), 1)
+    return _MAGIC + struct.pack("<3I", len(rules), len(n_ids), len(symbols)) + zstandard.ZstdCompressor(level=1).compress(b"".join(np.asarray(p).astype("<u4").tobytes() for p in parts))
 
 
 class Shard:
@@ -201,7 +248,7 @@ class Shard:
         if payload[:4] != _MAGIC:
             raise ValueError("not a shard")
         r, d, s = struct.unpack("<3I", payload[4:16])
-        data = np.frombuffer(zlib.decompress(payload[16:]), dtype="<u4")
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[16:]), dtype="<u4")
         self.rules, data = data[: 2 * r].reshape(r, 2), data[2 * r :]
         self.lengths, self.per_doc, self.n_ids, self.symbols = data[:r], data[r : r + d], data[r + d : r + 2 * d], data[r + 2 * d :]
         if len(self.symbols) != s:
@@ -234,36 +281,37 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(rows.schema["doc_id"].dataType))), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     schema = f"part int, shard int, doc_ids array<{kind(rows, 'doc_id')}>, n_tokens long, payload binary"
 
-    def shards(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids: list[np.ndarray] = []
-        keys, lengths = [], []
-        at, size, number = 0, 0, 0
-
-        def flush() -> pd.DataFrame:
-            row = {"part": at, "shard": number, "doc_ids": list(keys), "n_tokens": sum(lengths), "payload": pack(np.concatenate(ids), np.array(lengths))}
-            for x in (ids, keys, lengths):
-                x.clear()
-            return pd.DataFrame([row])
-
-        for part in parts:
-            if not len(part):
-                continue
-            at = int(part["part"].iloc[0])
-            keyed = part["doc_id"].astype(object).where(part["doc_id"].notna(), None)
-            for key, found in zip(keyed, encode(part["text"].tolist(), tokenizer_path), strict=True):
-                ids += [found, np.array([END], dtype=np.uint32)]
-                lengths.append(len(found) + 1)
-                keys.append(int(key) if isinstance(key, float) else key)
-                size += len(found) + 1
-                if size >= SHARD_IDS:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        size, number = 0, 0
+
+        def flush() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            waiting.clear()
+            ids, counts = encode(rows["text"].chunk(0), tokenizer_path)
+            symbols, ends = np.empty(len(ids) + len(counts), dtype=np.uint32), np.cumsum(counts + 1) - 1
+            inside = np.ones(len(symbols), dtype=bool)
+            inside[ends] = False
+            symbols[inside], symbols[ends] = ids, END
+            row = [rows["part"][:1], [number], [rows["doc_id"].to_pylist()], [len(symbols)], [pack(symbols, counts + 1)]]
+            return pa.RecordBatch.from_arrays([pa.array(c.to_pylist() if isinstance(c, pa.ChunkedArray) else c, type=t) for c, t in zip(row, arrow.types, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for k in range(0, batch.num_rows, _STEP):
+                part = batch.slice(k, _STEP)
+                waiting.append(part)
+                size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+                if size >= SHARD_BYTES:
                     yield flush()
                     size, number = 0, number + 1
-        if ids:
+        if any(b.num_rows for b in waiting):
             yield flush()
 
-    map_texts(rows, shards, schema).write.parquet(path)
+    small_batches(rows)
+    rows.mapInArrow(shards, schema).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
