@@ -56,7 +56,9 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     the first. Null texts are empty. Where rows share a doc_id, the next document is the one with the least digest. Rows without a doc_id stand
     outside the order: what is cut from them isn't replaced, and near_next is 0. An empty table gives an empty result. Other columns aren't read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # An alias to the same name would stay in one branch of the plan only, and its shuffle of the texts would differ.
+    key = F.col("doc_id") if id_col == "doc_id" else F.col(id_col).alias("doc_id")
+    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     mark = lambda text: digest(text, lanes, digits)
     narrow = materialise(rows.select("doc_id", F.char_length("text").cast("long").alias("n"), mark(F.col("text")).alias("digest")), "digests")
     keyed = narrow.where(F.col("doc_id").isNotNull())
@@ -69,12 +71,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     plan = before.join(ids.select(F.col("doc_id").alias("next_id"), F.col("digest").alias("next_digest"), "rows"), "next_id").join(shared, "next_id", "left")
     plan = materialise(plan, "ring-plan")
 
-    with_plan = rows.join(plan.hint("shuffle_hash"), F.col("doc_id") == F.col("next_id"))
+    # Both joins compare null-safely, so that no filter on doc_id makes the shuffle of the texts differ between them: it runs once.
+    with_plan = rows.join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("next_id")))
     heads = with_plan.select("for_id", "next_digest", F.substring("text", F.lit(1), F.col("k")).alias("head"))
     if not plan.where("rows > 1").isEmpty():
         least = with_plan.where(mark(F.col("text")) == F.col("next_digest"))
         heads = least.groupBy("for_id", "next_digest").agg(F.min(F.substring("text", F.lit(1), F.col("k"))).alias("head"))
-    joined = rows.join(heads.hint("shuffle_hash"), F.col("doc_id") == F.col("for_id"), "left")
+    joined = rows.join(heads.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("for_id")), "left")
     n = F.char_length("text")
     k = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.coalesce("head", F.lit("")), F.lit(1), k))
