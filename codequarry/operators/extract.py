@@ -55,7 +55,7 @@ _TOKEN = re.compile(
 _REGEX = re.compile(r"/(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
 _MARKER = re.compile(r"//\s*(TODO|FIXME|HACK|XXX|NOTE):?[ \t]*(.*)")
 #: Words before `(` that are no calls; words after which a slash begins a pattern; words before a member; calls that name tests.
-_NO_CALL = {"if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "constructor", "super", "import", "with", "of", "in", "new", "delete", "void", "yield", "throw", "else", "do", "case"}
+_NO_CALL = {"async", "if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "constructor", "super", "import", "with", "of", "in", "new", "delete", "void", "yield", "throw", "else", "do", "case"}
 _BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do"}
 _MODIFIERS = {"static", "async", "public", "private", "protected", "get", "set", "readonly", "override", "abstract", "declare", "accessor"}
 _TESTS = {"it", "test", "describe"}
