@@ -44,6 +44,11 @@ def map_texts(rows: DataFrame, batches, schema: str, most_rows: int = 1000) -> D
     return rows.mapInPandas(batches, schema)
 
 
+def map_arrow(rows: DataFrame, batches, schema: str) -> DataFrame:
+    small_batches(rows)
+    return rows.mapInArrow(batches, schema)
+
+
 def kind(df: DataFrame, column: str) -> str:
     """A column's type as text, for the schema of a Python function."""
     return df.schema[column].dataType.simpleString()

@@ -16,15 +16,18 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import kind, map_texts
+from ._common import kind, map_arrow
+from ._words import slices, word_hashes
 
 WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16_000_000
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _ODD, _SLOT_BITS = re.compile(r"[^\W_]+"), np.uint64(0x9E3779B97F4A7C15), 20
 Shingle = tuple[str, ...]
 
 
@@ -45,6 +48,15 @@ def need(n: int, threshold: float = THRESHOLD) -> int:
     return max(1, -int(-(n * threshold - 1e-9) // 1))
 
 
+def _shingle_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of every WORDS neighbouring word hashes."""
+    n = len(words) - WORDS + 1
+    sums = np.zeros(n, dtype=np.uint64)
+    for k in range(WORDS):
+        sums = (sums + words[k : k + n]) * _ODD
+    return sums
+
+
 class Index:
     """Sketches of a block of items, and the shingles to verify by."""
 
@@ -65,6 +77,24 @@ class Index:
         self.first = {s[0] for s in self.sketch}
         self.least = min(self.partitions.values(), default=0)
 
+        whole = [s for s in self.sketch if len(s) == WORDS]
+        self.hashes = np.unique(_shingle_hashes(np.array([[xxhash.xxh64_intdigest(w) for w in s] for s in whole], dtype=np.uint64).reshape(-1, WORDS).ravel())[::WORDS]) if whole else np.zeros(0, dtype=np.uint64)
+        self.slots = np.zeros(1 << _SLOT_BITS, dtype=bool)
+        self.slots[(self.hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
+
+    def likely(self, texts: pa.Array) -> np.ndarray:
+        """Places of the texts that hold a sketched shingle, or that have fewer words than a shingle."""
+        h, counts = word_hashes(texts, _WORD, lower=True)
+        short = np.nonzero((counts > 0) & (counts < WORDS))[0]
+        if len(h) < WORDS or not len(self.hashes):
+            return short
+        sums = _shingle_hashes(h)
+        at = np.nonzero(self.slots[(sums >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])[0]
+        at = at[np.isin(sums[at], self.hashes)]
+        ends = np.cumsum(counts)
+        first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + WORDS - 1, side="right")
+        return np.union1d(short, first[first == last])
+
     def search(self, text: str | None) -> Iterator[tuple[object, int, int]]:
         """Key, shingles and shared shingles of each contained item."""
         words = words_of(text)
@@ -94,17 +124,20 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.length("text") > 0)
     blocks = max(1, -(-(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     schema = f"doc_id {kind(rows, 'doc_id')}, item_id {kind(tests, 'item_id')}, n_shingles long, shared long, containment double"
+    ids = [to_arrow_type(df.schema[c].dataType) for df, c in ((rows, "doc_id"), (tests, "item_id"))]
+    arrow = pa.schema([("doc_id", ids[0]), ("item_id", ids[1]), ("n_shingles", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())])
     passes = []
     for block in range(blocks):
         own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
         index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.toLocalIterator()], threshold))
 
-        def batches(parts: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                out = [(d, key, n, shared, shared / n) for d, text in zip(part["doc_id"], part["text"], strict=True) for key, n, shared in index.value.search(text)]
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_shingles", "shared", "containment"])
+        def batches(parts: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for part in slices(parts):
+                texts, ids = part["text"].chunk(0), part["doc_id"]
+                out = [(ids[k].as_py(), key, n, shared, shared / n) for k in index.value.likely(texts).tolist() for key, n, shared in index.value.search(texts[k].as_py())]
+                yield pa.RecordBatch.from_arrays([pa.array(column, type=t) for column, t in zip(zip(*out, strict=True) if out else [()] * 5, arrow.types, strict=True)], schema=arrow)
 
-        passes.append(map_texts(rows, batches, schema))
+        passes.append(map_arrow(rows, batches, schema))
     return reduce(DataFrame.union, passes)
 
 

@@ -11,55 +11,57 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kind, map_texts, materialise
+from ._common import kind, map_arrow, materialise
+from ._words import slices, word_hashes
 
-BUCKETS, SMOOTHING, SEED, SAMPLE, SLACK = 10_000, 1.0, 7, 20_000, 2.0
+BUCKETS, SMOOTHING, SEED, SAMPLE, SLACK = 10_000, 1.0, 7, 20_000, 1.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
-_CACHE = 400_000
-_hashes: dict[str, int] = {}
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def _hash(token: str) -> int:
-    """Cached; the cache is bounded."""
-    h = _hashes.get(token)
-    if h is None:
-        if len(_hashes) >= _CACHE:
-            _hashes.clear()
-        h = _hashes[token] = crc32(token.encode("utf-8", "surrogatepass"))
-    return h
+def _pairs(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = first * _A + second * _B
+    mixed[first == second] = 0
+    return ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of the text's words and neighbouring pairs, with repeats. Words are runs of letters and digits or of other signs; all
+    """The buckets of a text's words and neighbouring pairs, with repeats. Words are runs of letters and digits or of other signs; all
     pairs of a word and itself are one n-gram."""
-    h = np.array([_hash(t) for t in _TOKEN.findall(text)] if text else [], dtype=np.uint64)
-    mixed = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed[h[:-1] == h[1:]] = 0
-    return np.concatenate([h % np.uint64(buckets), (mixed >> np.uint64(20)) % np.uint64(buckets)]).astype(np.int64)
+    h = np.array([xxhash.xxh64_intdigest(t) for t in _TOKEN.findall(text or "")], dtype=np.uint64)
+    return np.concatenate([(h % np.uint64(buckets)).astype(np.int64), _pairs(h[:-1], h[1:], buckets)])
+
+
+def _features(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of many texts: buckets of words; buckets of the pairs that begin with each word; whether there is such a pair in its text; words a text."""
+    h, counts = word_hashes(texts, _TOKEN)
+    inside = np.ones(len(h), dtype=bool)
+    inside[(np.cumsum(counts) - 1)[counts > 0]] = False
+    after = np.append(h[1:], np.uint64(0)) if len(h) else h
+    return (h % np.uint64(buckets)).astype(np.int64), _pairs(h, after, buckets), inside, counts
 
 
 def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Log of target over raw probability for each bucket. rows: text, good (boolean). All rows are counted; the result has one number a bucket."""
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, dtype=np.int64), np.zeros(buckets, dtype=np.int64)
-        for part in parts:
-            for text, good in zip(part["text"], part["good"], strict=True):
-                c = np.bincount(features(text, buckets), minlength=buckets)
-                raw += c
-                if good:
-                    target += c
+        for part in slices(batches):
+            words, pairs, inside, counts = _features(part["text"].chunk(0), buckets)
+            raw += np.bincount(words, minlength=buckets) + np.bincount(pairs[inside], minlength=buckets)
+            good = np.repeat(part["good"].to_numpy(), counts)
+            target += np.bincount(words[good], minlength=buckets) + np.bincount(pairs[inside & good], minlength=buckets)
         k = np.nonzero(raw)[0]
-        yield pd.DataFrame({"bucket": k, "raw": raw[k], "target": target[k]})
+        yield pa.RecordBatch.from_pydict({"bucket": k, "raw": raw[k], "target": target[k]})
 
-    sums = map_texts(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    sums = map_arrow(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
     for b, r, t in sums.collect():  # at most one row a bucket
         raw[b] += r
@@ -113,13 +115,17 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     marked = rows.join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(marked, buckets))
 
-    def weigh(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ratios.value
-        for part in parts:
-            found = [features(t, buckets) for t in part["text"]]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "n_grams": [len(f) for f in found], "log_weight": [float(table[f].sum()) for f in found]})
-
-    weighed = map_texts(rows, weigh, f"doc_id {kind(rows, 'doc_id')}, n_grams long, log_weight double")
+        for part in slices(batches):
+            words, pairs, inside, counts = _features(part["text"].chunk(0), buckets)
+            weight = table[words] + np.where(inside, table[pairs], 0.0)
+            total, some = np.zeros(len(counts)), counts > 0
+            if len(weight):
+                total[some] = np.add.reduceat(weight, (np.cumsum(counts) - counts)[some])
+            yield pa.RecordBatch.from_arrays([part["doc_id"].chunk(0), pa.array(np.maximum(2 * counts - 1, 0)), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
+
+    weighed = map_arrow(rows, weigh, f"doc_id {kind(rows, 'doc_id')}, n_grams long, log_weight double")
     weighed = materialise(weighed.withColumn("key", F.col("log_weight") + _gumbel(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)), "importance")
     n = weighed.count()
     if share is None:
