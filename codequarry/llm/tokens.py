@@ -100,9 +100,9 @@ def _numbered(values: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of pieces `which`, one after the other; ids and sizes are of all pieces in turn."""
-    first, n = np.cumsum(sizes) - sizes, sizes[which]
-    at = np.repeat(first[which] - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
+    n = sizes[which]
+    at = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n).astype(np.int32)
+    at += np.arange(len(at), dtype=np.int32)
     return ids[at]
 
 
@@ -292,6 +292,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
             rows = pa.Table.from_batches(waiting).combine_chunks()
             waiting.clear()
             ids, counts = encode(rows["text"].chunk(0), tokenizer_path)
+            pa.default_memory_pool().release_unused()
             symbols, ends = np.empty(len(ids) + len(counts), dtype=np.uint32), np.cumsum(counts + 1) - 1
             inside = np.ones(len(symbols), dtype=bool)
             inside[ends] = False
@@ -317,11 +318,14 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
 def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the shards alone.
 
-    A shard's first start is the sum of n_tokens over the shards before it; that window has one row a shard. The column of payloads isn't read for it.
+    A shard's first start is the sum of n_tokens over the shards before it: within its partition, and over the partitions before. The window over
+    partitions has one row a partition; the column of payloads isn't read for either.
     """
     table = spark.read.parquet(path)
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = table.select("part", "shard", "n_tokens").select("part", "shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
+    sizes = table.select("part", "shard", "n_tokens")
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("part_first"))
+    starts = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("first")).join(parts, "part").select("part", "shard", (F.col("first") + F.col("part_first")).alias("first"))
     whole = table.select("part", "shard", "doc_ids", "payload").join(starts, ["part", "shard"]).select("first", "doc_ids", "payload")
     id_type = table.schema["doc_ids"].dataType.elementType.simpleString()
 
