@@ -12,6 +12,8 @@ from codequarry.functions import text as T
 
 #: The open interval of mutual information that expands a query, and how many terms it takes.
 PMI_ABOVE, PMI_BELOW, EXPANSIONS, EPSILON = 1.5, 20.0, 12, 2.0**-52
+#: Most rows of query terms that are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def chunk(files: DataFrame, words: int = T.CHUNK_WORDS) -> DataFrame:
@@ -44,18 +46,28 @@ def _best(scored: DataFrame, k: int, method: str) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score", F.lit(method).alias("method"))
 
 
-def _search(chunks: DataFrame, terms: Column, wanted: DataFrame, weight: Column, k: int, method: str) -> DataFrame:
-    found = postings(chunks, terms)
-    idf = inverse_frequencies(found, chunks)
-    asked = wanted.join(idf.where("idf > 0"), "term")
-    hits = found.join(asked, "term").groupBy("query_id", "chunk_id", "norm").agg(F.sum(weight).alias("dot"))
+def _search(chunks: DataFrame, terms: Column, wanted: DataFrame, repeats: bool, k: int, method: str) -> DataFrame:
+    """The k best chunks of each query by the sum of weight * idf over a chunk's terms (with repeats, or each once), over the root of their count.
+
+    wanted: query_id, term, weight. Document frequencies are counted for the queries' terms alone. Where those fit a broadcast, a chunk's terms meet
+    them in the task that split the chunk, so its scores are summed before any shuffle; beyond that size both sides are shuffled by term.
+    """
+    held = wanted.count() <= BROADCAST_TERMS
+    side = F.broadcast if held else lambda df: df
+    rows = chunks.select("chunk_id", terms.alias("terms")).select("chunk_id", F.sqrt(F.size("terms")).alias("norm"), "terms")
+    once = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(side(wanted.select("term").distinct()), "term", "left_semi")
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    idf = frequencies(once).crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
+    asked = wanted.join(idf, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("gain"))
+    each = rows.select("chunk_id", "norm", F.explode("terms" if repeats else F.array_distinct("terms")).alias("term"))
+    hits = each.join(side(asked), "term").groupBy("query_id", "chunk_id", "norm").agg(F.sum("gain").alias("dot"))
     return _best(hits.select("query_id", "chunk_id", F.round(F.col("dot") / F.col("norm"), 6).alias("score")), k, method)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Score: the sum of tf * idf over the query's tokens, repeats counting again, over the root of the chunk's tokens. A query without tokens has no result."""
-    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return _search(chunks, T.tokens(F.col("text")), wanted, F.col("qtf") * F.col("tf") * F.col("idf"), k, "keyword")
+    wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+    return _search(chunks, T.tokens(F.col("text")), wanted, True, k, "keyword")
 
 
 def query_ngrams(text: Column) -> Column:
@@ -64,8 +76,8 @@ def query_ngrams(text: Column) -> Column:
 
 def ngram_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Score: the sum of idf over the query's distinct 3-grams that the chunk has, over the root of the chunk's 3-grams."""
-    wanted = queries.where(F.length(F.trim("text")) > 0).select("query_id", F.explode(query_ngrams(F.col("text"))).alias("term"))
-    return _search(chunks, T.ngrams(F.col("text")), wanted, F.col("idf"), k, "semantic")
+    wanted = queries.where(F.length(F.trim("text")) > 0).select("query_id", F.explode(query_ngrams(F.col("text"))).alias("term"), F.lit(1).alias("weight"))
+    return _search(chunks, T.ngrams(F.col("text")), wanted, False, k, "semantic")
 
 
 def expansions(chunks: DataFrame, queries: DataFrame, most: int = EXPANSIONS) -> DataFrame:

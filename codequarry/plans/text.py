@@ -12,6 +12,7 @@ from codequarry.operators import manifest as M
 from codequarry.operators import retrieval as R
 from codequarry.plans.spec import Specs
 from codequarry.sources.graph_tables import table
+from codequarry.sources.shared import spread
 
 specs = Specs()
 
@@ -75,7 +76,7 @@ def _sql(body: str, *parts: str) -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("path"), "text")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +254,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @specs.query("SELECT doc_id, printf('%x', abs(list_reduce(list_transform(string_split(text, ''), lambda c: unicode(c)::BIGINT), lambda h, c: ((h * 31 + c + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648, 0::BIGINT))) AS hash FROM documents WHERE text IS NOT NULL")
 def js_hash32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", C.hash32(F.col("text")).alias("hash"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").where("text IS NOT NULL").select("doc_id", C.hash32(F.col("text")).alias("hash"))
 
 
 @specs.query("SELECT page_id, CASE WHEN octet_length(encode(html)) <= 1048576 THEN sha256(html) ELSE '' END AS hash FROM pages WHERE html IS NOT NULL")
