@@ -141,10 +141,14 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     return reduce(DataFrame.union, passes)
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs that contain no item; rows with a null doc_id are looked up like any other. Columns as in docs."""
-    found = contained(docs, items, **options).select("doc_id").distinct()
-    return docs.alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs whose text contains no item. Columns as in docs.
+
+    The key of a row covers its doc_id and its text, so rows without a doc_id, or with the doc_id of an unlike text, are judged each by its own text.
+    """
+    keyed = docs.withColumn("_row", F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))))
+    found = contained(keyed, items, "_row", text_col, **options).select("doc_id").distinct()
+    return keyed.alias("d").join(found.alias("f"), F.col("d._row") == F.col("f.doc_id"), "left_anti").drop("_row")
 
 
 #: Containment by brute force in SQL.

@@ -16,13 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codequarry.operators.components import connected_components
 
-from ._common import every_salt, materialise, salted
+from ._common import every_salt, kind, map_arrow, materialise, salted
+from ._words import slices
 
 WORDS, SEED, RADIUS = 3, 42, 3
 _BLOCK = 1 << 15
@@ -113,9 +116,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(spread, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest doc_id of their component; of repeated rows with that doc_id, one. Columns as in docs."""
-    firsts = near_duplicates(docs, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    firsts = materialise(firsts, "simhash-firsts")
-    kept = docs.alias("d").join(firsts.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_semi")
-    return kept if firsts.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """What tells a row of docs from others: its id, a digest of its text, a hash of its other columns."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return {"_id": F.col(id_col), "_digest": F.md5(F.col(text_col).cast("string")), "_rest": F.xxhash64(*others) if others else F.lit(0).cast("long")}
+
+
+def _same_row(a: str, b: str) -> Column:
+    return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._digest").eqNullSafe(F.col(f"{b}._digest")) & (F.col(f"{a}._rest") == F.col(f"{b}._rest"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+    """One row of each component: that of the smallest doc_id (null after all others), then fingerprint, digest of the text and hash of the other columns.
+
+    Rows are joined by SimHash links, as in near_duplicates. Rows with a null doc_id or one that others share are
+    told apart by their texts; of rows that are alike in all columns, one stays. Columns as in docs.
+    """
+    keyed = docs.select("*", *[c.alias(k) for k, c in _row_keys(docs, id_col, text_col).items()])
+    rows = keyed.select("_id", "_digest", "_rest", F.col(text_col).cast("string").alias("text"))
+    schema = pa.schema([("_id", to_arrow_type(rows.schema["_id"].dataType)), ("_digest", pa.string()), ("_rest", pa.int64()), ("fp", pa.int64())])
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(parts):
+            texts = part["text"].chunk(0)
+            fp = np.array([fingerprint(t.as_py(), words) for t in texts], dtype=np.uint64).view(np.int64)
+            columns = [part[c].chunk(0).cast(schema.field(c).type) for c in ("_id", "_digest", "_rest")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp)], schema=schema)
+
+    marked = materialise(map_arrow(rows, batches, f"_id {kind(rows, '_id')}, _digest string, _rest long, fp long"), "simhash-rows")
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_digest", "_rest").alias("r")
+    per_fp = materialise(marked.groupBy("fp").agg(F.min(order).alias("r")), "simhash-distinct")
+    edges = links(per_fp.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    labels = connected_components(edges)
+    best = per_fp.join(labels, per_fp["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("r").alias("r"))
+    best = materialise(best.select("r._id", "r._digest", "r._rest"), "simhash-firsts")
+    kept = keyed.alias("k").join(best.alias("o"), _same_row("k", "o"), "left_semi")
+    again = marked.groupBy("_id", "_digest", "_rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").alias("o")
+    twice = best.alias("k").join(again, _same_row("k", "o"), "left_semi")
+    return (kept if twice.isEmpty() else kept.dropDuplicates(["_id", "_digest", "_rest"])).drop("_id", "_digest", "_rest")

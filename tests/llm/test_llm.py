@@ -327,6 +327,20 @@ def test_covering_misses_no_pair(spark, distance):
     assert got == want and (len(got) == (300 if 0 < distance <= 3 else 0))
 
 
+def test_one_row_stays_whatever_the_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (1, c, "s"), (1, d, "s"), (2, d, "s"), (3, d, "s"), (None, c, "s")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, a, "s"), (None, b, "s"), (1, c, "s"), (1, d, "s")], key=repr)
+
+
+def test_clean_judges_each_row_by_its_text(spark):
+    item = "one two three four five six"
+    rows = [(None, "clean"), (None, f"x {item} y"), (None, None), (1, "also clean"), (1, item), (2, item)]
+    left = decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, "clean"), (None, None), (1, "also clean")], key=repr)
+
+
 # 9
 
 
