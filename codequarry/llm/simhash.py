@@ -12,6 +12,7 @@ is split over tasks by the adaptive join, both of whose sides are plain shuffles
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +26,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from codequarry.operators.components import connected_components
 
 from ._common import every_salt, kind, map_arrow, materialise, salted
-from ._words import slices
+from ._words import slices, word_hashes
 
 WORDS, SEED, RADIUS = 3, 42, 3
 _BLOCK = 1 << 15
+#: For the rows that keep_first joins beyond SimHash links: words of a shingle, least Jaccard similarity, bands of a MinHash signature and values of a band.
+SHINGLE, LIKENESS, BANDS, ROWS = 5, 0.8, 40, 5
+_WORD, _ODD, _TOGETHER = re.compile(r"[^\W_]+"), np.uint64(0x9E3779B97F4A7C15), 512
+_SHIFTS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint32)
+_FACTORS |= np.uint32(1)
 #: Positions 1 to 31 whose k-th bit is set, as a mask over bits 0 to 30: the parity checks of the Hamming code.
 CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
 
@@ -116,6 +122,80 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(spread, ["fp", "salt"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _shingles(h: np.ndarray) -> np.ndarray:
+    """A mixed 64-bit hash of every SHINGLE neighbouring word hashes; of fewer words, one of the whole; of none, none."""
+    k = min(SHINGLE, len(h))
+    if not k:
+        return np.zeros(0, dtype=np.uint64)
+    sums = np.zeros(len(h) - k + 1, dtype=np.uint64)
+    for i in range(k):
+        sums = (sums ^ h[i : i + len(sums)]) * _ODD
+        sums ^= sums >> np.uint64(31)
+    return sums
+
+
+def _bands(shingles: np.ndarray) -> np.ndarray:
+    """The hash of each band of the MinHash signature of at least one shingle."""
+    x, least = (shingles >> np.uint64(32)).astype(np.uint32), np.full(len(_SHIFTS), 0xFFFFFFFF, dtype=np.uint32)
+    for k in range(0, len(x), _TOGETHER):
+        v = np.bitwise_xor.outer(_SHIFTS, x[k : k + _TOGETHER])
+        v *= _FACTORS[:, None]
+        np.minimum(least, v.min(axis=1), out=least)
+    cells = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        cells = (cells ^ row) * _ODD
+        cells ^= cells >> np.uint64(29)
+    return cells.view(np.int64)
+
+
+def _text_shingles(texts: pa.Array) -> Iterator[np.ndarray]:
+    h, counts = word_hashes(texts, _WORD, lower=True)
+    ends = np.cumsum(counts)
+    for end, n in zip(ends.tolist(), counts.tolist(), strict=True):
+        yield _shingles(h[end - n : end])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays of distinct shingles have a Jaccard similarity of LIKENESS or more."""
+    if min(len(a), len(b)) < LIKENESS * max(len(a), len(b)) - 1e-9:
+        return False
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared >= LIKENESS * (len(a) + len(b) - shared) - 1e-9
+
+
+def joined(prints: list[int], sets: list[np.ndarray], cells: list[list[int]]) -> list[tuple[int, int]]:
+    """Pairs of fingerprints that join all fingerprints whose texts share a cell and are alike, directly or through others.
+
+    Texts of one fingerprint are together from the start. A cell holds groups of texts that were together when they came in, so a cluster is skipped as one.
+    """
+    parent = {p: p for p in prints}
+
+    def root(p: int) -> int:
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        return p
+
+    held: dict[int, list[list[int]]] = {}
+    found = []
+    for i, own in enumerate(prints):
+        for cell in cells[i]:
+            groups = held.setdefault(cell, [])
+            home = None
+            for group in groups:
+                if root(prints[group[0]]) != root(own):
+                    match = next((j for j in group if alike(sets[i], sets[j])), None)
+                    if match is None:
+                        continue
+                    found.append((prints[match], own))
+                    parent[root(own)] = root(prints[match])
+                home = home or group
+            if home is None:
+                groups.append([i])
+            else:
+                home.append(i)
+    return found
+
+
 def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
     """What tells a row of docs from others: its id, a digest of its text, a hash of its other columns."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
@@ -126,27 +206,52 @@ def _same_row(a: str, b: str) -> Column:
     return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._digest").eqNullSafe(F.col(f"{b}._digest")) & (F.col(f"{a}._rest") == F.col(f"{b}._rest"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
+def similar_links(keyed: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
+    """a, b: fingerprints to join, since texts of theirs have a Jaccard similarity of LIKENESS or more over shingles of five words.
+
+    BANDS bands of ROWS MinHash values find the candidates: a pair at LIKENESS shares no band in (1 - 0.8^5)^40 = 1.3e-7 of cases. Fingerprints that share
+    bands, directly or through others, meet in one group, and there exact similarity decides.
+    """
+    cells = marked.select("fp", F.explode("cells").alias("cell")).distinct()
+    shared = cells.groupBy("cell").agg(F.min("fp").alias("u"), F.max("fp").alias("last")).where("u < last").select("cell", "u")
+    near = connected_components(cells.join(shared, "cell").where("fp != u").select("u", F.col("fp").alias("v")).distinct())
+    near = materialise(near.select(F.col("node").alias("fp"), F.col("label").alias("near")), "simhash-near")
+    one = marked.join(near, "fp").groupBy("_digest", "fp", "near").agg(F.min(F.struct("_id", "_rest")).alias("r")).select("_digest", "fp", "near", "r._id", "r._rest")
+    texts = keyed.alias("k").join(one.alias("o"), _same_row("k", "o")).select("o.fp", "o.near", F.col(f"k.{text_col}").cast("string").alias("text"))
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("fp", kind="stable")
+        sets = list(_text_shingles(pa.array(group["text"], pa.string())))
+        found = joined(group["fp"].tolist(), [np.unique(x) for x in sets], [_bands(x).tolist() if len(x) else [] for x in sets])
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return texts.groupBy("near").applyInPandas(verify, "a long, b long")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS, similar: bool = False) -> DataFrame:
     """One row of each component: that of the smallest doc_id (null after all others), then fingerprint, digest of the text and hash of the other columns.
 
-    Rows are joined by SimHash links, as in near_duplicates. Rows with a null doc_id or one that others share are
+    Rows are joined by SimHash links, as in near_duplicates; with similar also by similar_links. Rows with a null doc_id or one that others share are
     told apart by their texts; of rows that are alike in all columns, one stays. Columns as in docs.
     """
     keyed = docs.select("*", *[c.alias(k) for k, c in _row_keys(docs, id_col, text_col).items()])
     rows = keyed.select("_id", "_digest", "_rest", F.col(text_col).cast("string").alias("text"))
-    schema = pa.schema([("_id", to_arrow_type(rows.schema["_id"].dataType)), ("_digest", pa.string()), ("_rest", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("_id", to_arrow_type(rows.schema["_id"].dataType)), ("_digest", pa.string()), ("_rest", pa.int64()), ("fp", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(parts):
             texts = part["text"].chunk(0)
             fp = np.array([fingerprint(t.as_py(), words) for t in texts], dtype=np.uint64).view(np.int64)
+            cells = [_bands(x) if len(x) else [] for x in _text_shingles(texts)] if similar else [[]] * len(texts)
             columns = [part[c].chunk(0).cast(schema.field(c).type) for c in ("_id", "_digest", "_rest")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp)], schema=schema)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(fp), pa.array(cells, type=pa.list_(pa.int64()))], schema=schema)
 
-    marked = materialise(map_arrow(rows, batches, f"_id {kind(rows, '_id')}, _digest string, _rest long, fp long"), "simhash-rows")
+    marked = materialise(map_arrow(rows, batches, f"_id {kind(rows, '_id')}, _digest string, _rest long, fp long, cells array<long>"), "simhash-rows")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_digest", "_rest").alias("r")
     per_fp = materialise(marked.groupBy("fp").agg(F.min(order).alias("r")), "simhash-distinct")
     edges = links(per_fp.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if similar:
+        edges = edges.unionByName(similar_links(keyed, marked, text_col).select(F.col("a").alias("u"), F.col("b").alias("v")))
     labels = connected_components(edges)
     best = per_fp.join(labels, per_fp["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("r").alias("r"))
     best = materialise(best.select("r._id", "r._digest", "r._rest"), "simhash-firsts")

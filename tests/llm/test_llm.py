@@ -341,6 +341,24 @@ def test_clean_judges_each_row_by_its_text(spark):
     assert sorted(map(tuple, left.collect()), key=repr) == sorted([(None, "clean"), (None, None), (1, "also clean")], key=repr)
 
 
+def test_similar_rows_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    prints, sets, held = {d: simhash.fingerprint(t) for d, t in texts.items()}, {d: decontaminate.shingles_of(decontaminate.words_of(t)) for d, t in texts.items()}, defaultdict(list)
+    pairs = {(a, b) for a in texts for b in texts if a < b and (prints[a] ^ prints[b]).bit_count() <= 3}
+    for d, s in sets.items():
+        for x in s:
+            held[x].append(d)
+    near = {(a, b) for ids in held.values() for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near - pairs
+    label = {d: d for d in texts}
+    for _ in range(20):
+        for a, b in pairs | near:
+            label[a] = label[b] = min(label[a], label[b])
+    got = [r["doc_id"] for r in simhash.keep_first(docs, similar=True).collect()]
+    assert sorted(got) == sorted(d for d in texts if label[d] == d)
+
+
 # 9
 
 
