@@ -1,8 +1,8 @@
 """Token ids written in a binary format compressed by Re-Pair grammars, with random access.
 
 Documents stand in ascending doc_id order over range partitions; each partition's documents are cut into shards of about SHARD_BYTES bytes
-of text, and each shard is compressed on its own. Re-Pair replaces frequent neighbouring ids by new symbols, round by round; a round replaces the
-PAIRS most frequent pairs at once, left to right. Rules are stored with the number of ids that each symbol expands to, so a document's ids can be
+of text, and each shard is compressed on its own. Re-Pair replaces frequent neighbouring ids by new symbols, round by round, until no pair of
+neighbours occurs LEAST times; a round replaces many pairs at once, the most frequent first where they overlap. Rules are stored with the number of ids that each symbol expands to, so a document's ids can be
 found and decoded without the rest of the shard.
 
 Shards are the rows of Parquet files in the shared folder: Spark's writer commits them whole, whichever executor is lost, and any store that Spark
@@ -38,9 +38,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._common import kind, map_texts, shared_path, small_batches
 
-END_ID, SHARD_BYTES, ROUNDS, PAIRS, LEAST = 2, 8 << 20, 4, 256, 16
+END_ID, SHARD_BYTES, LEAST = 2, 8 << 20, 16
 BASE, END = 1 << 20, (1 << 32) - 1
-_HASH_BITS, _STEP, _TOGETHER = 18, 100, 2000
+_HASH_BITS, _STEP, _TOGETHER, _ODD = 20, 100, 2000, np.uint64(0x9E3779B97F4A7C15)
 #: Signs that the tokenizer splits from letters beside them; code points that Arrow takes for white space, or lower-cases otherwise, than it does.
 _CUT, _UNLIKE = r"^(?P<core>(?s:.*?))(?P<end>[.,!?#%&*$|;:()]*)$", "[\x1c-\x1f\u0130]"
 _MAGIC = b"RPG1"
@@ -164,38 +164,64 @@ def _apart(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[odd], odd
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, pairs: int = PAIRS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules) for ids in which END closes each document. A round costs time in proportion to the symbols left.
+def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mask of the keys that occur `least` times or more, rank among such keys of each of these, number by rank); the most frequent key is last.
 
-    Pairs are first counted by hash; only those in the fullest slots, whose counts bound theirs from above, are counted exactly.
+    Keys are first counted by hash: a slot's count bounds theirs from above, so only those in full slots are sorted.
     """
-    x, rules, slots = ids.astype(np.uint32), [], 1 << _HASH_BITS
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
-        slot = (x[:-1] * np.uint32(0x9E3779B1) ^ x[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _HASH_BITS)
-        ends = np.nonzero(x == END)[0]
-        slot[ends[ends < len(slot)]] = slots
-        slot[ends[ends > 0] - 1] = slots
-        counts = np.bincount(slot, minlength=slots + 1)
-        counts[slots] = 0
-        full = counts >= max(least, int(np.partition(counts, -2 * pairs)[-2 * pairs]))
-        here = np.nonzero(full[slot])[0]
+    slot = (keys * _ODD >> np.uint64(64 - _HASH_BITS)).astype(np.uint32)
+    often = (np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot]
+    found, which, n = np.unique(keys[often], return_inverse=True, return_counts=True)
+    # Ties stand in the order of a hash, else the pairs of a repeated passage would wait for one another in turn.
+    order = np.lexsort((found * _ODD, n))
+    order = order[n[order] >= least]
+    rank = np.full(len(found), -1, dtype=np.int32)
+    rank[order] = np.arange(len(order))
+    ranks = rank[which]
+    often[often] = ranks >= 0
+    return often, ranks[ranks >= 0], n[order]
+
+
+def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules) for ids in which END closes each document. No pair of neighbours within a document is left `least` times or more.
+
+    In a round each place goes to its most frequent pair, from left to right where a pair overlaps itself; pairs that hold half their places, and always
+    the most frequent one, become rules. After the first round only pairs that were frequent and those beside replaced places are counted again:
+    the count of any other pair can't grow.
+    """
+    x, rules = ids.astype(np.uint32), []
+    ask = np.ones(len(x), dtype=bool)
+    while len(x) > 1:
+        here = np.nonzero(ask[:-1])[0]
+        here = here[(x[here] != END) & (x[here + 1] != END)]
         keys = x[here].astype(np.uint64) << np.uint64(32) | x[here + 1]
-        found, n = np.unique(keys, return_counts=True)
-        best = np.lexsort((found, -n))[:pairs]
-        best = np.sort(found[best[n[best] >= least]])
-        if not len(best):
+        often, rank, n = _frequent(keys, least)
+        if not len(n):
             break
-        rank = np.minimum(np.searchsorted(best, keys), len(best) - 1)
-        chosen = best[rank] == keys
-        at, apart = _apart(here[chosen])
-        x[at] = (BASE + len(rules) + rank[chosen][apart]).astype(np.uint32)
+        here, keys = here[often], keys[often]
+        # The rank, from 1, of each place's pair, with an empty place at either end.
+        ranks = np.zeros(len(x) + 2, dtype=np.int32)
+        ranks[here + 1] = rank + 1
+        own = rank + 1
+        wins = np.nonzero((own >= ranks[here]) & (own >= ranks[here + 2]))[0]
+        wins = wins[_apart(here[wins])[1]]
+        held = np.bincount(rank[wins], minlength=len(n))
+        taken = 2 * held >= n
+        taken[-1] = True
+        wins = wins[taken[rank[wins]]]
+        at, number = here[wins], np.cumsum(taken) - 1
+        pairs = np.empty(int(taken.sum()), dtype=np.uint64)
+        pairs[number[rank[wins]]] = keys[wins]
+        ask[:] = False
+        ask[here] = True
+        ask[at] = True
+        ask[np.maximum(at, 1) - 1] = True
+        x[at] = (BASE + sum(map(len, rules)) + number[rank[wins]]).astype(np.uint32)
         keep = np.ones(len(x), dtype=bool)
         keep[at + 1] = False
-        x = x[keep]
-        rules += [(int(k >> np.uint64(32)), int(k & np.uint64(END))) for k in best]
-    return x, np.array(rules, dtype=np.uint32).reshape(-1, 2)
+        x, ask = x[keep], ask[keep]
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
+    return x, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:

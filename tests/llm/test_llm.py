@@ -391,6 +391,20 @@ def test_grammar_compresses_repeats():
     assert tokens.expand(symbols, rules)[:-1].tolist() == ids[:-1].tolist()
 
 
+@pytest.mark.parametrize("copies", [16, 40])
+def test_grammar_leaves_no_frequent_pair(copies):
+    """More pairs than a few rounds of a fixed size could replace, and passages much longer than 16 ids."""
+    rng = np.random.default_rng(copies)
+    passages = [rng.integers(0, 40_000, 300) for _ in range(20)]
+    rows = [np.concatenate([passages[k], rng.integers(0, 40_000, 5), [tokens.END]]) for k in rng.permutation(np.repeat(np.arange(20), copies))]
+    ids = np.concatenate([*rows, [7] * 100, [tokens.END]]).astype(np.uint32)
+    symbols, rules = tokens.compress(ids)
+    inside = (symbols[:-1] != tokens.END) & (symbols[1:] != tokens.END)
+    pairs = symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
+    assert np.unique(pairs[inside], return_counts=True)[1].max(initial=0) < tokens.LEAST and tokens.expansion_lengths(rules).max() >= 300
+    assert tokens.expand(symbols, rules).tolist() == np.where(ids == tokens.END, tokens.END_ID, ids).tolist()
+
+
 def test_tokens_from_files(docs, texts, monkeypatch):
     monkeypatch.setattr(tokens, "SHARD_BYTES", 20_000)
     path, start = queries.tokenizer_path(), 0
