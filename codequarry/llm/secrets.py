@@ -1,8 +1,8 @@
 """Secret scan with multipart credential linking.
 
 Base spans stand on their own: assignments to a secret's name, access identifiers, long hexadecimal runs. Weak candidates mean
-little alone: account names, opaque strings, endpoints. Parts are joined over intervals: each identifier opens a scope that reaches
-REACH code points to either side, within its paragraph, and secrets and endpoints that lie in the scope are linked to it.
+little alone: account names, opaque strings, endpoints. Parts are joined over intervals: an identifier's scope is its paragraph, however long,
+and secrets and endpoints that lie in the scope are linked to it. A blank line ends a paragraph, and so do GAP or more blanks in a row.
 Weak candidates are reported only if such a link completes them:
 
 - an account name, with a base secret in scope, or with an opaque string and an endpoint;
@@ -33,10 +33,10 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 
 ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]{3,}", re.IGNORECASE | re.ASCII)
 ACCOUNT_WORDS = (b"user", b"login", b"account", b"client", b"access")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.ASCII)
-PARAGRAPH = re.compile(r"\n[\x20\t\r]*\n")
-REACH = 400
+GAP = 400
+PARAGRAPH = re.compile(rf"\n[\x20\t\r]*\n|[\x20\t]{{{GAP},}}")
 
 
 class Span(NamedTuple):
@@ -94,7 +94,7 @@ def scan(text: str | None) -> tuple[list[Span], list[Span], list[tuple[Span, Spa
     reported, pairs = set(base), []
     for who in identifiers:
         k = bisect_left(breaks, who.start + 1)
-        low, high = max(breaks[k - 1], who.start - REACH), min(breaks[k], who.end + REACH)
+        low, high = breaks[k - 1], breaks[k]
         near = _within(endpoints, endpoint_starts, low, high)
         linked = [secrets[i] for i in _within(secrets, secret_starts, low, high) if not (who.kind == 3 and secrets[i].kind == 4 and not near) and secrets[i].start != who.start]
         if linked:
