@@ -91,6 +91,46 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_lines, n_removed, text (what is left) for every row: every repeated passage of two or more lines goes whole, wherever chunks would end.
+
+    Each two neighbouring lines are an anchor. Those that occur in a document with a smaller doc_id, or before in the same row without a line in
+    common, are repeats, and neighbouring repeats make up a whole passage. Anchors are compared by two digests of their bytes, 192 bits together. The first
+    occurrence of a line always stays. Nulls, empty texts and rows that share a doc_id are as in dedup_lines.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def anchors(lines: Column) -> Column:
+        def anchor(i: Column) -> Column:
+            return let(F.concat(F.get(lines, i), F.lit("\n"), F.get(lines, i + 1)), lambda t: F.concat(F.unhex(F.md5(t)), F.unhex(F.lpad(F.hex(F.xxhash64(t)), 16, "0"))))
+
+        return F.when(F.size(lines) > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size(lines) - 2, F.lit(0))), anchor)).otherwise(F.array().cast("array<binary>"))
+
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("place")
+    pairs = rows.where(F.col("text").isNotNull()).select("doc_id", F.explode(F.array_distinct(let(F.split("text", "\n"), anchors))).alias("h"))
+    classes = pairs.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")).where("copies > 1").select("h", F.col("first.doc_id").alias("first_id"))
+    classes = materialise(classes, "passage-classes").select("*", every_salt(SALTS).alias("salt"))
+    where = pairs.withColumn("salt", salted(F.col("doc_id"), SALTS)).join(classes, ["h", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("first_id")))
+    marks = where.groupBy(F.col("doc_id").alias("for_id")).agg(F.collect_set("h").alias("marks"))
+    joined = rows.join(marks.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("for_id")), "left").select("doc_id", "text", F.coalesce("marks", F.array().cast("array<binary>")).alias("marks"))
+
+    def repeats(hs: Column) -> Column:
+        return F.transform(hs, lambda h, k: F.array_contains("marks", h) | (F.array_position(hs, h) < k))
+
+    def judge(lines: Column) -> Column:
+        gone = lambda again: F.transform(lines, lambda line, k: F.struct(line.alias("line"), (F.coalesce(F.get(again, k), F.lit(False)) | F.coalesce(F.get(again, k - 1), F.lit(False))).alias("gone")))
+        return let(let(anchors(lines), repeats), gone)
+
+    judged = joined.select("doc_id", "text", let(F.split("text", "\n"), judge).alias("c"))
+    blank = F.col("text").isNull()
+    return judged.select(
+        "doc_id",
+        F.when(blank, F.lit(0)).otherwise(F.size("c")).cast("long").alias("n_lines"),
+        F.when(blank, F.lit(0)).otherwise(F.size(F.filter("c", lambda c: c["gone"]))).cast("long").alias("n_removed"),
+        F.when(~blank, F.array_join(F.transform(F.filter("c", lambda c: ~c["gone"]), lambda c: c["line"]), "\n")).alias("text"),
+    )
+
+
 #: The same removal in SQL, by lines and windows.
 LINES_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),

@@ -21,6 +21,10 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(read_table(spark, sf_dir, "documents"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_passages(read_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id")
     return sharding.place(docs, F.col("doc_id")).select("doc_id", "slot", "shard")
@@ -57,5 +61,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.entropy_mix(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontamination": op2_decontamination, "op3_linededup": op3_linededup, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_tokens": op9_tokens, "op10_mixing": op10_mixing}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_decontamination": op2_decontamination, "op3_linededup": op3_linededup, "op3_passages": op3_passages, "op4_sharding": op4_sharding, "op5_langid": op5_langid, "op6_quality": op6_quality, "op7_secrets": op7_secrets, "op8_simhash": op8_simhash, "op9_tokens": op9_tokens, "op10_mixing": op10_mixing}
 ORACLES = {"op2_decontamination": decontaminate.CONTAINED_SQL, "op3_linededup": linededup.LINES_SQL, "op4_sharding": sharding.SHARD_SQL, "op10_mixing": mixing.MIX_SQL}

@@ -185,6 +185,35 @@ def test_line_dedup_resists_shifts(spark):
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] > 40 and {"new", "in between"} <= set(got[2]["text"].split("\n"))
 
 
+def passage_dedup(rows):
+    """rows: (doc_id, text) in order of doc_id, each doc_id once."""
+    seen, out = set(), {}
+    for d, text in rows:
+        lines = text.split("\n")
+        pairs, first, gone = list(zip(lines, lines[1:], strict=False)), {}, set()
+        for i, p in enumerate(pairs):
+            if p in seen or first.setdefault(p, i) < i - 1:
+                gone |= {i, i + 1}
+        seen.update(pairs)
+        out[d] = (len(lines), len(gone), "\n".join(line for i, line in enumerate(lines) if i not in gone))
+    return out
+
+
+def test_passages_by_brute_force(spark, docs, texts):
+    body = [f"line {i}" for i in range(8)]
+    odd = {-3: "\n".join(body), -2: "\n".join(["a", *body[2:4], "b", *body[:2], "c"]), -1: "x\nx\nx\ny\nz\nx\nx\nx\ny", -4: "x"}
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(list(odd.items()), "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["text"]) for r in linededup.dedup_passages(rows).collect()}
+    assert got == passage_dedup(sorted({**texts, **odd}.items())) and got[-2] == (7, 4, "a\nb\nc")
+
+
+def test_passages_of_odd_rows(spark, odd):
+    got = sorted(((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linededup.dedup_passages(odd).collect()), key=repr)
+    want = {5: (4, 4, ""), 2: (0, 0, None)}
+    whole = lambda t: (0, 0, None) if t is None else (t.count("\n") + 1, 0, t)
+    assert got == sorted(((r[0], *want.get(r[0], whole(r[1]))) for r in ODD), key=repr) and linededup.dedup_passages(odd.limit(0)).count() == 0
+
+
 # 4
 
 
