@@ -8,27 +8,31 @@ found and decoded without the rest of the shard.
 Shards are the rows of Parquet files in the shared folder: Spark's writer commits them whole, whichever executor is lost, and any store that Spark
 reads will do. A shard's payload, all integers little-endian:
 
-    magic "RPG1", then uint32: rules, docs, symbols
-    uint32[rules, 2]  the two symbols of a rule; rule r is symbol BASE + r
-    uint32[rules]     ids it expands to
-    uint32[docs]      symbols of each document (its end id included)
-    uint32[docs]      ids of each document (its end id included)
-    uint32[symbols]   the documents' symbols, one after the other
-
-All parts after the counts are one zstandard frame. END stands for a document's end id within a shard, so that no rule spans two documents.
+    magic "RPG2", then uint32: rules, docs, symbols, blocks, bytes of the head
+    the head, one zstandard frame:
+        uint32[rules, 2]  the two symbols of a rule; rule r is symbol BASE + r
+        uint32[rules]     ids it expands to
+        uint32[docs]      symbols of each document (its end id included)
+        uint32[docs]      ids of each document (its end id included)
+        uint32[blocks]    ids of each block
+        uint32[blocks]    bytes of each block
+    the blocks, a zstandard frame each: uint32 symbols, BLOCK of them, fewer in the last
+
+The documents' symbols stand one after the other, whatever the blocks. A document is decoded from the blocks that it lies in, an id from one block.
+END stands for a document's end id within a shard, so that no rule spans two documents.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -36,14 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import kind, map_texts, shared_path, small_batches
+from ._common import kind, shared_path
+from ._words import slices
 
-END_ID, SHARD_BYTES, LEAST = 2, 8 << 20, 16
+END_ID, SHARD_BYTES, LEAST, BLOCK = 2, 8 << 20, 16, 1 << 16
 BASE, END = 1 << 20, (1 << 32) - 1
-_HASH_BITS, _STEP, _TOGETHER, _ODD = 20, 100, 2000, np.uint64(0x9E3779B97F4A7C15)
+_HASH_BITS, _TOGETHER, _ODD = 20, 2000, np.uint64(0x9E3779B97F4A7C15)
 #: Signs that the tokenizer splits from letters beside them; code points that Arrow takes for white space, or lower-cases otherwise, than it does.
 _CUT, _UNLIKE = r"^(?P<core>(?s:.*?))(?P<end>[.,!?#%&*$|;:()]*)$", "[\x1c-\x1f\u0130]"
-_MAGIC = b"RPG1"
+_MAGIC = b"RPG2"
 
 
 @lru_cache(maxsize=2)
@@ -54,6 +59,23 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: What a tokenizer file must say for its texts to be encoded part by part.
+_BY_PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "truncation": None, "padding": None, "post_processor": None,
+}
+_BY_PARTS_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+@lru_cache(maxsize=2)
+def by_parts(path: str) -> bool:
+    """Whether the ids of a text are those of its parts, as encode's short way needs: the file says what _BY_PARTS says, and no added token holds white space or takes any."""
+    said = json.loads(_tokenizer(path).to_str())
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and t["content"].split() == [t["content"]] for t in said["added_tokens"])
+    return plain and all(said[k] == v for k, v in _BY_PARTS.items()) and all(said["model"].get(k) == v for k, v in _BY_PARTS_MODEL.items())
+
+
 @lru_cache(maxsize=2)
 def _letter_tokenizer(path: str):
     """The same model for lower-case words of letters, which need neither the pattern nor the composition of the whole."""
@@ -109,11 +131,14 @@ def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids as uint32, ids a text) of whole texts without special tokens; null texts have none.
 
-    The tokenizer lower-cases, drops white space, never joins what it separates, and splits signs from letters. So the ids of a text are those of its
+    Where the tokenizer lower-cases, drops white space, never joins what it separates, and splits signs from letters (by_parts), the ids of a text are those of its
     parts between white space, and those of a part are those of its letters and of the signs at its end. Each distinct piece is encoded once, and
-    the texts' ids are gathered from the pieces'.
+    the texts' ids are gathered from the pieces'. Any other tokenizer encodes whole texts.
     """
     texts = pc.fill_null(texts, "")
+    if not by_parts(path):
+        each = _encode_each(texts.to_pylist(), path)
+        return np.concatenate([np.zeros(0, dtype=np.uint32), *each]), np.array([len(x) for x in each], dtype=np.int64)
     unlike = np.nonzero(pc.match_substring_regex(texts, _UNLIKE).to_numpy(zero_copy_only=False))[0]
     if len(unlike):
         keep = np.ones(len(texts), dtype=bool)
@@ -240,13 +265,13 @@ def _expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in found for i in x], dtype=np.uint32), np.cumsum([0, *map(len, found)])
 
 
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """The ids of symbols; END becomes the end id."""
+def expand(symbols: np.ndarray, rules: np.ndarray, expansions: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The ids of symbols; END becomes the end id. expansions: of the rules, where they are known."""
     is_rule = (symbols >= BASE) & (symbols != END)
     at = np.nonzero(is_rule)[0]
     if not len(at):
         return np.where(symbols == END, END_ID, symbols).astype("<u4")
-    table, bounds = _expansions(rules)
+    table, bounds = expansions or _expansions(rules)
     which = symbols[at] - BASE
     size = np.ones(len(symbols), dtype=np.int64)
     size[at] = (bounds[1:] - bounds[:-1])[which]
@@ -261,10 +286,20 @@ def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
 
 def pack(ids: np.ndarray, n_ids: np.ndarray) -> bytes:
     symbols, rules = compress(ids)
-    ends = np.nonzero(symbols == END)[0]
+    ends, lengths = np.nonzero(symbols == END)[0], expansion_lengths(rules)
     per_doc = np.diff(np.concatenate([[-1], ends]))
-    parts = [rules, expansion_lengths(rules), per_doc, n_ids, symbols]
-    return _MAGIC + struct.pack("<3I", len(rules), len(n_ids), len(symbols)) + zstandard.ZstdCompressor(level=1).compress(b"".join(np.asarray(p).astype("<u4").tobytes() for p in parts))
+    packer = zstandard.ZstdCompressor(level=1)
+    frames = [packer.compress(symbols[k : k + BLOCK].astype("<u4").tobytes()) for k in range(0, len(symbols), BLOCK)]
+    block_ids = [int(_sizes(symbols[k : k + BLOCK], lengths).sum()) for k in range(0, len(symbols), BLOCK)]
+    head = packer.compress(b"".join(np.asarray(p).astype("<u4").tobytes() for p in (rules, lengths, per_doc, n_ids, block_ids, [len(f) for f in frames])))
+    return b"".join([_MAGIC, struct.pack("<5I", len(rules), len(n_ids), len(symbols), len(frames), len(head)), head, *frames])
+
+
+def _sizes(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids that each symbol expands to, by the rules' lengths."""
+    size, is_rule = np.ones(len(symbols), dtype=np.int64), (symbols >= BASE) & (symbols != END)
+    size[is_rule] = lengths[symbols[is_rule] - BASE]
+    return size
 
 
 class Shard:
@@ -273,50 +308,73 @@ class Shard:
     def __init__(self, payload: bytes) -> None:
         if payload[:4] != _MAGIC:
             raise ValueError("not a shard")
-        r, d, s = struct.unpack("<3I", payload[4:16])
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload[16:]), dtype="<u4")
+        r, d, s, b, size = struct.unpack("<5I", payload[4:24])
+        self._payload, self._unpacker = payload, zstandard.ZstdDecompressor()
+        data = np.frombuffer(self._unpacker.decompress(payload[24 : 24 + size]), dtype="<u4")
         self.rules, data = data[: 2 * r].reshape(r, 2), data[2 * r :]
-        self.lengths, self.per_doc, self.n_ids, self.symbols = data[:r], data[r : r + d], data[r + d : r + 2 * d], data[r + 2 * d :]
-        if len(self.symbols) != s:
+        self.lengths, self.per_doc, self.n_ids, block_ids, block_bytes = np.split(data, [r, r + d, r + 2 * d, r + 2 * d + b])
+        upto = lambda n: np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        self.symbol_from, self.id_from, self.block_from, self.byte_from = upto(self.per_doc), upto(self.n_ids), upto(block_ids), 24 + size + upto(block_bytes)
+        if len(block_bytes) != b or self.symbol_from[-1] != s or self.byte_from[-1] != len(payload):
             raise ValueError("a shard's parts don't add up")
-        self.symbol_from = np.concatenate([[0], np.cumsum(self.per_doc, dtype=np.int64)])
+
+    @cached_property
+    def expansions(self) -> tuple[np.ndarray, np.ndarray]:
+        return _expansions(self.rules)
+
+    def block(self, j: int) -> np.ndarray:
+        """The symbols of the j-th block."""
+        return np.frombuffer(self._unpacker.decompress(self._payload[self.byte_from[j] : self.byte_from[j + 1]]), dtype="<u4")
 
     def document(self, k: int) -> np.ndarray:
-        """The ids of the k-th document, its end id included."""
-        return expand(self.symbols[self.symbol_from[k] : self.symbol_from[k + 1]], self.rules)
+        """The ids of the k-th document, its end id included, from the blocks that it lies in."""
+        first, last = int(self.symbol_from[k]), int(self.symbol_from[k + 1])
+        blocks = range(first // BLOCK, (last - 1) // BLOCK + 1)
+        symbols = np.concatenate([self.block(j) for j in blocks])[first - blocks[0] * BLOCK : last - blocks[0] * BLOCK]
+        return expand(symbols, self.rules, self.expansions)
 
     def token(self, k: int, i: int) -> int:
-        """The i-th id of the k-th document, by expansion lengths: only one symbol is expanded."""
-        symbols = self.symbols[self.symbol_from[k] : self.symbol_from[k + 1]]
-        is_rule = (symbols >= BASE) & (symbols != END)
-        size = np.ones(len(symbols), dtype=np.int64)
-        size[is_rule] = self.lengths[symbols[is_rule] - BASE]
+        """The i-th id of the k-th document: expansion lengths lead to its block, its symbol there, and down the symbol's rules."""
+        at = int(self.id_from[k]) + i
+        j = int(np.searchsorted(self.block_from, at, side="right")) - 1
+        symbols = self.block(j)
+        size = _sizes(symbols, self.lengths)
         upto = np.cumsum(size)
-        at = int(np.searchsorted(upto, i, side="right"))
-        return int(expand(symbols[at : at + 1], self.rules)[i - int(upto[at] - size[at])])
+        at -= int(self.block_from[j])
+        p = int(np.searchsorted(upto, at, side="right"))
+        symbol, at = int(symbols[p]), at - int(upto[p] - size[p])
+        while BASE <= symbol < END:
+            left, right = map(int, self.rules[symbol - BASE])
+            n = int(self.lengths[left - BASE]) if BASE <= left < END else 1
+            symbol, at = (left, at) if at < n else (right, at - n)
+        return END_ID if symbol == END else symbol
 
     def documents(self) -> Iterator[np.ndarray]:
-        ids = expand(self.symbols, self.rules)
-        yield from np.split(ids, np.cumsum(self.n_ids, dtype=np.int64)[:-1])
+        """All documents in order; a block's ids are held at a time, and those of the document that it cuts."""
+        cut, k = [], 0
+        for j in range(len(self.byte_from) - 1):
+            ids = expand(self.block(j), self.rules, self.expansions)
+            whole = int(np.searchsorted(self.id_from, self.block_from[j + 1], side="right")) - 1
+            parts = np.split(ids, self.id_from[k + 1 : whole + 1] - self.block_from[j])
+            for part in parts[:-1]:
+                yield np.concatenate([*cut, part]) if cut else part
+                cut = []
+            cut, k = [*cut, parts[-1]], whole
 
 
 def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write docs as shards under path: rows (part, shard, doc_ids, n_tokens, payload).
 
-    Null and empty texts have just their end id. Ascending doc_id, nulls first; rows of one doc_id stand by text. An empty table writes no shard.
+    Null and empty texts have just their end id. Ascending doc_id, nulls first; rows of one doc_id stand by a hash of the text, then text. An empty table writes no shard.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text").withColumn("part", F.spark_partition_id())
+    # Rows without a doc_id, or of one that many share, are dealt by a hash of their texts.
+    rows = rows.withColumn("_h", F.xxhash64("text")).repartitionByRange(F.col("doc_id"), F.col("_h")).sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
     arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_ids", pa.list_(to_arrow_type(rows.schema["doc_id"].dataType))), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     schema = f"part int, shard int, doc_ids array<{kind(rows, 'doc_id')}>, n_tokens long, payload binary"
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-        size, number = 0, 0
-
-        def flush() -> pa.RecordBatch:
-            rows = pa.Table.from_batches(waiting).combine_chunks()
-            waiting.clear()
+        for number, rows in enumerate(slices(batches, most=SHARD_BYTES)):
             ids, counts = encode(rows["text"].chunk(0), tokenizer_path)
             pa.default_memory_pool().release_unused()
             symbols, ends = np.empty(len(ids) + len(counts), dtype=np.uint32), np.cumsum(counts + 1) - 1
@@ -324,20 +382,8 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
             inside[ends] = False
             symbols[inside], symbols[ends] = ids, END
             row = [rows["part"][:1], [number], [rows["doc_id"].to_pylist()], [len(symbols)], [pack(symbols, counts + 1)]]
-            return pa.RecordBatch.from_arrays([pa.array(c.to_pylist() if isinstance(c, pa.ChunkedArray) else c, type=t) for c, t in zip(row, arrow.types, strict=True)], schema=arrow)
-
-        for batch in batches:
-            for k in range(0, batch.num_rows, _STEP):
-                part = batch.slice(k, _STEP)
-                waiting.append(part)
-                size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
-                if size >= SHARD_BYTES:
-                    yield flush()
-                    size, number = 0, number + 1
-        if any(b.num_rows for b in waiting):
-            yield flush()
-
-    small_batches(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(c.to_pylist() if isinstance(c, pa.ChunkedArray) else c, type=t) for c, t in zip(row, arrow.types, strict=True)], schema=arrow)
+
     rows.mapInArrow(shards, schema).write.parquet(path)
 
 
@@ -353,17 +399,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("part_first"))
     starts = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("first")).join(parts, "part").select("part", "shard", (F.col("first") + F.col("part_first")).alias("first"))
     whole = table.select("part", "shard", "doc_ids", "payload").join(starts, ["part", "shard"]).select("first", "doc_ids", "payload")
-    id_type = table.schema["doc_ids"].dataType.elementType.simpleString()
+    id_type = table.schema["doc_ids"].dataType.elementType
+    arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for first, keys, payload in zip(part["first"], part["doc_ids"], part["payload"], strict=True):
-                shard = Shard(payload)
+            for k in range(part.num_rows):
+                shard = Shard(part["payload"][k].as_py())
                 crc = [zlib.crc32(x.tobytes()) for x in shard.documents()]
                 n = shard.n_ids.astype(np.int64)
-                yield pd.DataFrame({"doc_id": pd.Series(list(keys), dtype=object if any(k is None for k in keys) else None), "start": first + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
+                start = part["first"][k].as_py() + np.cumsum(n) - n
+                yield pa.RecordBatch.from_arrays([part["doc_ids"][k].values.cast(arrow.field(0).type), pa.array(start), pa.array(n), pa.array(crc, type=pa.int64())], schema=arrow)
 
-    return map_texts(whole, decode, f"doc_id {id_type}, start long, n_tokens long, ids_crc32 long", most_rows=1)
+    return whole.mapInArrow(decode, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
