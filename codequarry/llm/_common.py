@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from codequarry.sources.shared import materialise, remove, shared_dir, shared_path  # noqa: F401
 
+from ._words import slices
+
 #: ASCII white space that separates words: space and code points 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,20 +39,23 @@ def every_salt(salts: int) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in range(salts)]))
 
 
-def small_batches(rows: DataFrame, most_rows: int = 1000) -> None:
-    """Have Arrow batches hold few rows, so that a worker's memory is bounded by a few long texts."""
-    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= most_rows:
-        conf.set(key, str(most_rows))
-
+def map_texts(rows: DataFrame, make: Callable[[], Callable[[str | None], tuple]], columns: str) -> DataFrame:
+    """rows without text, and what make()(text) gives of each text as further columns.
 
-def map_texts(rows: DataFrame, batches, schema: str, most_rows: int = 1000) -> DataFrame:
-    small_batches(rows, most_rows)
-    return rows.mapInPandas(batches, schema)
+    Spark bounds an Arrow batch by its bytes (spark.sql.execution.arrow.maxBytesPerBatch); a worker takes it slice by slice and text by text, so
+    nothing of the session is changed. Other columns stay in Arrow as they are.
+    """
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType(kept + StructType.fromDDL(columns).fields)
+    arrow = to_arrow_schema(schema)
 
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = make()
+        for part in slices(parts):
+            found = list(zip(*(judge(t.as_py()) for t in part["text"].chunk(0)), strict=True))
+            same = [part[f.name].chunk(0).cast(arrow.field(f.name).type) for f in kept]
+            yield pa.RecordBatch.from_arrays([*same, *(pa.array(c, type=f.type) for c, f in zip(found, list(arrow)[len(kept) :], strict=True))], schema=arrow)
 
-def map_arrow(rows: DataFrame, batches, schema: str) -> DataFrame:
-    small_batches(rows)
     return rows.mapInArrow(batches, schema)
 
 

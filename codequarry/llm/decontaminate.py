@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import kind, map_arrow
+from ._common import kind
 from ._words import slices, word_hashes
 
 WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16_000_000
@@ -137,7 +137,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
                 out = [(ids[k].as_py(), key, n, shared, shared / n) for k in index.value.likely(texts).tolist() for key, n, shared in index.value.search(texts[k].as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array(column, type=t) for column, t in zip(zip(*out, strict=True) if out else [()] * 5, arrow.types, strict=True)], schema=arrow)
 
-        passes.append(map_arrow(rows, batches, schema))
+        passes.append(rows.mapInArrow(batches, schema))
     return reduce(DataFrame.union, passes)
 
 

@@ -8,14 +8,12 @@ Blocks keep a long text from becoming its own dictionary. Where the runner-up is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kind, map_texts
+from ._common import map_texts
 
 #: The bound on what is learnt: documents a language, code points of each, dictionary bytes a language and in all.
 SAMPLE_DOCS, EXCERPT, DICT_BYTES, ALL_BYTES = 1500, 600, 192 * 1024, 48 * 1024 * 1024
@@ -95,12 +93,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     content = learn(rows.where(usable).select(F.col("doc_id").alias("key"), "text", "lang"))
     shared = docs.sparkSession.sparkContext.broadcast(content)  # at most ALL_BYTES
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        predict = _classifier(shared.value) if shared.value else lambda _: ("und", 0.0, True)
-        for part in parts:
-            out = pd.DataFrame([predict(t) for t in part["text"]], columns=["lang_pred", "score", "rejected"])
-            out.insert(0, "held_out", part["held_out"].to_numpy())
-            out.insert(0, "doc_id", part["doc_id"].to_numpy())
-            yield out
+    def predictor():
+        return _classifier(shared.value) if shared.value else lambda _: ("und", 0.0, True)
 
-    return map_texts(rows.drop("lang"), batches, f"doc_id {kind(rows, 'doc_id')}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(rows.select("doc_id", "held_out", "text"), predictor, "lang_pred string, score double, rejected boolean")

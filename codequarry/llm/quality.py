@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kind, map_arrow, materialise
+from ._common import kind, materialise
 from ._words import slices, word_hashes
 
 BUCKETS, SMOOTHING, SEED, SAMPLE, SLACK = 10_000, 1.0, 7, 20_000, 1.0
@@ -61,7 +61,7 @@ def log_ratios(rows: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
         k = np.nonzero(raw)[0]
         yield pa.RecordBatch.from_pydict({"bucket": k, "raw": raw[k], "target": target[k]})
 
-    sums = map_arrow(rows, count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
+    sums = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target"))
     raw, target = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
     for b, r, t in sums.collect():  # at most one row a bucket
         raw[b] += r
@@ -125,7 +125,7 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
                 total[some] = np.add.reduceat(weight, (np.cumsum(counts) - counts)[some])
             yield pa.RecordBatch.from_arrays([part["doc_id"].chunk(0), pa.array(np.maximum(2 * counts - 1, 0)), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
 
-    weighed = map_arrow(rows, weigh, f"doc_id {kind(rows, 'doc_id')}, n_grams long, log_weight double")
+    weighed = rows.mapInArrow(weigh, f"doc_id {kind(rows, 'doc_id')}, n_grams long, log_weight double")
     weighed = materialise(weighed.withColumn("key", F.col("log_weight") + _gumbel(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)), "importance")
     n = weighed.count()
     if share is None:

@@ -14,15 +14,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kind, map_texts
+from ._common import map_texts
 
 #: Kinds in order, base patterns, words without which an assignment can't occur.
 KINDS = ("assign", "access", "hex", "account", "opaque", "endpoint")
@@ -34,7 +33,9 @@ ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_ke
 ACCOUNT = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key_?id)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.@=-]{3,}", re.IGNORECASE | re.ASCII)
 ACCOUNT_WORDS = (b"user", b"login", b"account", b"client", b"access")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"https?://[^\s\"'<>]{4,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+:\d{2,5}\b", re.ASCII)
+ADDRESS = re.compile(r"https?://[^\s\"'<>]{4,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])", re.ASCII)
+PORT, HOST_START = re.compile(r":\d{2,5}\b", re.ASCII), re.compile(r"\b[a-z0-9-]", re.ASCII)
+HOST_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789.-")
 GAP = 400
 PARAGRAPH = re.compile(rf"\n[\x20\t\r]*\n|[\x20\t]{{{GAP},}}")
 
@@ -59,20 +60,41 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found)
 
 
+def _endpoints(text: str) -> list[Span]:
+    """Leftmost non-overlapping URLs, IP addresses, and names of two or more labels with a port, in time linear in the text.
+
+    Names are found from their port backwards: a run of signs that names are made of has no colon, so it is walked once.
+    """
+    found = [Span(m.start(), 5, m.end()) for m in ADDRESS.finditer(text)]
+    for port in PORT.finditer(text):
+        first = stop = port.start()
+        while first and text[first - 1] in HOST_SIGNS:
+            first -= 1
+        first = max(first, text.rfind("..", first, stop) + 2 if ".." in text[first:stop] else first)
+        m = HOST_START.search(text, first, stop)
+        if m and text[stop - 1] != "." and text.find(".", m.start(), stop) >= 0:
+            found.append(Span(m.start(), 5, port.end()))
+    apart, end = [], 0
+    for s in sorted(found, key=lambda s: s.start):
+        if s.start >= end:
+            apart.append(s)
+            end = s.end
+    return apart
+
+
 def _weak_spans(text: str, base: list[Span]) -> tuple[list[Span], list[Span], list[Span]]:
     low = text.encode("utf-8", "surrogatepass").lower()
     accounts = [Span(m.start(), 3, m.end()) for m in ACCOUNT.finditer(text)] if any(w in low for w in ACCOUNT_WORDS) else []
     if not accounts and not any(s.kind == 1 for s in base):
         return [], [], []  # without an identifier there is no scope
-    opaque, starts = [], [s.start for s in base]
+    opaque, starts, ends = [], [s.start for s in base], [0, *accumulate((s.end for s in base), max)]
     for m in OPAQUE.finditer(text):
         s = m[0]
-        k = bisect_left(starts, m.end())
         if not (any(c.isdigit() for c in s) and any(c.isupper() for c in s) and any(c.islower() for c in s)):
             continue
-        if not any(base[j].end > m.start() for j in range(max(0, k - 4), k)):
+        if ends[bisect_left(starts, m.end())] <= m.start():  # no base span that starts before the string's end reaches into it
             opaque.append(Span(m.start(), 4, m.end()))
-    return accounts, opaque, [Span(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
+    return accounts, opaque, _endpoints(text)
 
 
 def _within(parts: list[Span], starts: list[int], low: int, high: int) -> list[int]:
@@ -115,15 +137,9 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            out = []
-            for text in part["text"]:
-                base, spans, pairs = scan(text)
-                n = [sum(s.kind == k for s in base) for k in range(3)]
-                out.append((*n, sha256(_join(base).encode()).hexdigest(), _join(spans), len(pairs), ",".join(f"{a}>{b}" for a, b in pairs)))
-            table = pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_links", "links"])
-            table.insert(0, "doc_id", part["doc_id"].to_numpy())
-            yield table
-
-    return map_texts(rows, batches, f"doc_id {kind(rows, 'doc_id')}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_links long, links string")
+    def report(text: str | None) -> tuple:
+        base, spans, pairs = scan(text)
+        n = [sum(s.kind == k for s in base) for k in range(3)]
+        return *n, sha256(_join(base).encode()).hexdigest(), _join(spans), len(pairs), ",".join(f"{a}>{b}" for a, b in pairs)
+
+    return map_texts(rows, lambda: report, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_links long, links string")

@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from codequarry.operators.components import connected_components
 
-from ._common import every_salt, kind, map_arrow, materialise, salted
+from ._common import every_salt, kind, map_texts, materialise, salted
 from ._words import slices, word_hashes
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -63,12 +63,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, fp (the 64 bits as a signed long) for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            fp = np.array([fingerprint(t, words) for t in part["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": part["doc_id"], "fp": fp})
+    def signed(text: str | None) -> tuple[int]:
+        fp = fingerprint(text, words)
+        return (fp - (fp >> 63 << 64),)
 
-    return rows.mapInPandas(batches, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_texts(rows, lambda: signed, "fp long")
 
 
 def _syndrome(v: Column) -> Column:
@@ -246,7 +245,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             columns = [part[c].chunk(0).cast(schema.field(c).type) for c in ("_id", "_digest", "_rest")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(fp), pa.array(cells, type=pa.list_(pa.int64()))], schema=schema)
 
-    marked = materialise(map_arrow(rows, batches, f"_id {kind(rows, '_id')}, _digest string, _rest long, fp long, cells array<long>"), "simhash-rows")
+    marked = materialise(rows.mapInArrow(batches, f"_id {kind(rows, '_id')}, _digest string, _rest long, fp long, cells array<long>"), "simhash-rows")
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "fp", "_digest", "_rest").alias("r")
     per_fp = materialise(marked.groupBy("fp").agg(F.min(order).alias("r")), "simhash-distinct")
     edges = links(per_fp.select("fp"), radius).select(F.col("a").alias("u"), F.col("b").alias("v"))
