@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import time
+import unicodedata
 from hashlib import sha256
 
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequarry.llm import langid, queries, secrets, tokens
+from codequarry.llm import fingerprints, langid, queries, secrets, tokens
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,11 @@ def texts(docs):
     return {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
 
 
+def canon(text):
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())
+    return re.sub(r"\s+", " ", folded).strip(" ")
+
+
 def faster_than_square(run, small, large):
     """Whether twice the work takes less than three times as long (a square takes four), by the least of a few runs."""
 
@@ -200,3 +206,40 @@ def test_rows_of_one_id_are_dealt_over_partitions(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
     assert spark.read.parquet(str(tmp_path / "shards")).select("part").distinct().count() > 1
     assert tokens.read(spark, str(tmp_path / "shards")).agg(F.count(F.lit(1)), F.countDistinct("start")).first() == (4000, 4000)
+
+
+# 1
+
+
+@pytest.mark.parametrize("digits", [1, 16])
+def test_collisions_in_all_columns_by_brute_force(spark, docs, texts, digits):
+    """One digit makes nearly all texts collide; copies beside one another have equal edited texts, short texts have their own."""
+    body = " ".join(f"word{i}" for i in range(40))
+    odd = {-9: body, -8: body, -7: body, -6: "abc", -5: "ABC", -4: None, -3: "", -2: "Stra\u00dfe x", -1: "STRASSE  X"}
+    nowhere = ["abc", None, body, "no id at all " * 5]
+    every = {**texts, **odd}
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame([*odd.items(), *((None, t) for t in nowhere)], "doc_id long, text string"))
+    got = fingerprints.fingerprint_documents(rows, lanes=1, digits=digits).collect()
+    order, of, edits = sorted(every), {}, {}
+    for k, d in enumerate(order):
+        text, after = every[d] or "", every[order[(k + 1) % len(order)]] or ""
+        edits[d] = (text[: len(text) - len(text) // 4] + after[: len(text) // 4], canon(after))
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted([*every, *[None] * len(nowhere)], key=repr)
+
+    def meet(mark, text):
+        assert of.setdefault(mark, text) == text and len(mark.split("-")[0]) == digits
+
+    lost = sorted(sha256((t or "")[: len(t or "") - len(t or "") // 4].encode()).hexdigest() for t in nowhere)
+    assert sorted(r["edited_sha256"] for r in got if r["doc_id"] is None) == lost and all(r["near_next"] == 0 for r in got if r["doc_id"] is None)
+    for r in got:
+        if r["doc_id"] is None:
+            own = next(t or "" for t in nowhere if sha256((t or "")[: len(t or "") - len(t or "") // 4].encode()).hexdigest() == r["edited_sha256"])
+            meet(r["fingerprint"], canon(own))
+            meet(r["edited_fingerprint"], canon(own[: len(own) - len(own) // 4]))
+            continue
+        own, (edited, after) = every[r["doc_id"]] or "", edits[r["doc_id"]]
+        meet(r["fingerprint"], canon(own))
+        meet(r["edited_fingerprint"], canon(edited))
+        assert r["edited_sha256"] == sha256(edited.encode()).hexdigest() and r["n_chars"] == len(own)
+        assert r["near_edited"] == float(canon(own) == canon(edited)) and r["near_next"] == float(canon(own) == after)
+    assert len(of) == len(set(of.values()))
