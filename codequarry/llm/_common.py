@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,22 @@ def every_salt(salts: int) -> Column:
     return F.explode(F.array(*[F.lit(i) for i in range(salts)]))
 
 
+def rows_with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """row (all columns of docs, so that their names clash with no others) and what tells it from other rows: _id, _digest of its text, _rest (a hash of its other columns)."""
+    every = {c: F.col(f"`{c}`") for c in docs.columns}
+    others = [col for c, col in every.items() if c not in (id_col, text_col)]
+    rest = F.xxhash64(*others) if others else F.lit(0).cast("long")
+    return docs.select(F.struct(*every.values()).alias("row"), every[id_col].alias("_id"), F.md5(every[text_col].cast("string")).alias("_digest"), rest.alias("_rest"))
+
+
+ROW_KEYS = ("_id", "_digest", "_rest")
+
+
+def same_row(a: str, b: str, keys: tuple[str, ...] = ROW_KEYS) -> Column:
+    """Whether the rows of aliases a and b have equal keys, nulls included."""
+    return reduce(Column.__and__, [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys])
+
+
 def map_texts(rows: DataFrame, make: Callable[[], Callable[[str | None], tuple]], columns: str) -> DataFrame:
     """rows without text, and what make()(text) gives of each text as further columns.
 

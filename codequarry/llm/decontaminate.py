@@ -146,9 +146,9 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     The key of a row covers its doc_id and its text, so rows without a doc_id, or with the doc_id of an unlike text, are judged each by its own text.
     """
-    keyed = docs.withColumn("_row", F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))))
-    found = contained(keyed, items, "_row", text_col, **options).select("doc_id").distinct()
-    return keyed.alias("d").join(found.alias("f"), F.col("d._row") == F.col("f.doc_id"), "left_anti").drop("_row")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.concat_ws(":", F.col(id_col).cast("string"), F.md5(F.col(text_col).cast("string"))).alias("key"))
+    found = contained(keyed.select("key", F.col(f"row.`{text_col}`").alias("text")), items, "key", "text", **options).select("doc_id").distinct()
+    return keyed.alias("d").join(found.alias("f"), F.col("d.key") == F.col("f.doc_id"), "left_anti").select("row.*")
 
 
 #: Containment by brute force in SQL.

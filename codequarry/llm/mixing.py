@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD, hash_bucket, materialise
+from ._common import ROW_KEYS, WORD, hash_bucket, materialise, rows_with_keys, same_row
 
-#: Words that share a size class, hash buckets in a class, Newton steps.
-CLASS_WIDTH, BUCKETS, NEWTON_STEPS = 16, 64, 80
+#: Words that share a size class, hash buckets in a class, Newton steps; buckets of rows that share a doc_id, copies that are made at a time.
+CLASS_WIDTH, BUCKETS, NEWTON_STEPS, MANY_BUCKETS, STEP = 16, 64, 80, 4096, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -72,16 +72,16 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rate = F.when(positive, F.round(F.least(F.exp(newton_multiplier(size, F.col("target"))), F.lit(float(most))), 9)).otherwise(F.lit(0.0))
     targets = targets.withColumn("rate", rate)
 
-    cells = rows.groupBy("skey", "cls", "hb").agg(F.count(F.lit(1)).alias("n"))
+    cells = rows.groupBy("skey", "cls", "hb", "size").agg(F.count(F.lit(1)).alias("n"))
     classes = cells.groupBy("skey", "cls").agg(F.sum("n").alias("n_cls"))
     earlier = lambda *keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("skey", "cls", F.coalesce(F.sum("n_cls").over(earlier("skey", by=F.col("cls").desc())), F.lit(0)).alias("cls_from"))
-    in_class = F.coalesce(F.sum("n").over(earlier("skey", "cls", by=F.col("hb"))), F.lit(0))
+    in_class = F.coalesce(F.sum("n").over(Window.partitionBy("skey", "cls").orderBy("hb", F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("cell_from", in_class).join(classes, ["skey", "cls"]).join(targets, "skey")
-    cells = cells.select("skey", "cls", "hb", (F.col("cls_from") + F.col("cell_from")).alias("from"), "source_size", "target", "rate")
+    cells = cells.select("skey", "cls", "hb", "size", (F.col("cls_from") + F.col("cell_from")).alias("from"), "source_size", "target", "rate")
 
-    in_cell = Window.partitionBy("skey", "cls", "hb").orderBy(F.col("size").desc(), F.col("doc_id").asc_nulls_first())
-    ranked = rows.withColumn("i", F.row_number().over(in_cell)).join(cells, ["skey", "cls", "hb"])
+    in_cell = Window.partitionBy("skey", "cls", "hb", "size").orderBy(F.col("doc_id").asc_nulls_first())
+    ranked = rows.withColumn("i", F.row_number().over(in_cell)).join(cells, ["skey", "cls", "hb", "size"])
     i, whole = F.col("i") + F.col("from"), F.floor("rate")
     part = F.col("rate") - whole
     copies = whole + F.floor(i * part + 0.5) - F.floor((i - 1) * part + 0.5)
@@ -89,16 +89,42 @@ def entropy_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return ranked.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row repeated by its copies; rows with none are left out. Columns as in docs.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with each row repeated by its copies; rows with none are left out. Columns as in docs, whatever their names.
 
-    Rows that share a doc_id share the copies of all of them evenly: the mean, rounded up for the first.
+    Rows that share a doc_id, or have none, share the copies of all of them evenly: c copies over n rows are c // n each, and one more for the first c % n by
+    digest of the text and hash of the other columns. So the copies add up to those of entropy_mix.
     """
-    spread = entropy_mix(docs, **options).groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    joined = docs.alias("d").join(spread.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")))
-    repeats = F.ceil(F.col("m._copies") / F.col("m._rows")).cast("int")
-    out = joined.where(F.col("m._copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), repeats)))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns])
+    mix = entropy_mix(docs, id_col, text_col, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+    mix = materialise(mix, "mix-copies")
+    each = F.floor(F.col("m.c") / F.col("m.n")).cast("int")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("_id")).alias("k")
+    out = whole.join(mix.where("c >= n").alias("m"), same_row("k", "m", ("_id",))).select("row", F.explode(F.sequence(F.lit(1), each)).alias("copy"))
+    left = mix.where("c % n > 0").select("_id", (F.col("c") % F.col("n")).alias("more"))
+    if not left.isEmpty():
+        out = out.unionByName(_first_rows(rows_with_keys(docs, id_col, text_col), left))
+    return out.select("row.*")
+
+
+def _first_rows(keyed: DataFrame, left: DataFrame) -> DataFrame:
+    """row, copy: the first `more` rows of each id of left, by digest and rest. Rows are counted by cell (id, bucket of digest and rest) and key, so that no task holds an id;
+    of rows that are alike in all columns, one stands for those taken, where not all are."""
+    bucket = F.pmod(F.xxhash64("_digest", "_rest"), F.lit(MANY_BUCKETS)).alias("b")
+    keys = keyed.alias("k").join(left.alias("m"), same_row("k", "m", ("_id",))).groupBy("k._id", "k._digest", "k._rest", "m.more").agg(F.count(F.lit(1)).alias("n"))
+    keys = materialise(keys.select("*", bucket), "mix-shared-ids")
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    cells = keys.groupBy("_id", "b").agg(F.sum("n").alias("n_cell")).withColumn("before", F.coalesce(F.sum("n_cell").over(earlier("_id").orderBy("b")), F.lit(0)))
+    inside = F.coalesce(F.sum("n").over(earlier("_id", "b").orderBy("_digest", "_rest")), F.lit(0))
+    placed = keys.withColumn("inside", inside).alias("k").join(cells.alias("c"), same_row("k", "c", ("_id", "b")))
+    take = F.greatest(F.least(F.col("more") - F.col("before") - F.col("inside"), F.col("n")), F.lit(0)).alias("take")
+    taken = materialise(placed.select(*[f"k.{k}" for k in ROW_KEYS], "n", take).where("take > 0"), "mix-first-rows")
+    rows = keyed.alias("k").join(taken.alias("t"), same_row("k", "t")).select("row", *[f"k.{k}" for k in ROW_KEYS], "n", "take")
+    every = rows.where("take = n").select("row", F.lit(1).alias("copy"))
+    some = rows.where("take < n").dropDuplicates([*ROW_KEYS]) if not taken.where("take < n").isEmpty() else None
+    if some is None:
+        return every
+    parts = some.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("take") - 1, F.lit(STEP).cast("long"))).alias("at"), "take")
+    return every.unionByName(parts.select("row", F.explode(F.sequence(F.lit(1), F.least(F.col("take") - F.col("at"), F.lit(STEP)).cast("int"))).alias("copy")))
 
 
 #: The same mix in SQL: a source's optimal rate is target / source_size, the fixed point of the Newton iterations.

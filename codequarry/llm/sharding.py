@@ -54,9 +54,10 @@ def lookup_table(spark: SparkSession, shards: tuple[str, ...] = SHARDS, slots: i
 def place(rows: DataFrame, key: Column, shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """rows with slot and shard (replacing columns of those names).
 
-    A null key hashes as the empty text; equal keys, and so repeated rows, share a slot. Every row of the input keeps one row.
+    A null key hashes as the empty text; equal keys, and so repeated rows, share a slot. Every row of the input keeps one row. key may read the
+    columns that are replaced.
     """
-    slotted = rows.drop("slot", "shard").withColumn("slot", hash_bucket(key, slots))
+    slotted = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c not in ("slot", "shard")], hash_bucket(key, slots).alias("slot"))
     return slotted.join(F.broadcast(lookup_table(rows.sparkSession, shards, slots)), "slot")
 
 

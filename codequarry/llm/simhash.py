@@ -25,7 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from codequarry.operators.components import connected_components
 
-from ._common import every_salt, kind, map_texts, materialise, salted
+from ._common import ROW_KEYS, every_salt, kind, map_texts, materialise, rows_with_keys, salted, same_row
 from ._words import slices, word_hashes
 
 WORDS, SEED, RADIUS = 3, 42, 3
@@ -195,16 +195,6 @@ def joined(prints: list[int], sets: list[np.ndarray], cells: list[list[int]]) ->
     return found
 
 
-def _row_keys(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
-    """What tells a row of docs from others: its id, a digest of its text, a hash of its other columns."""
-    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    return {"_id": F.col(id_col), "_digest": F.md5(F.col(text_col).cast("string")), "_rest": F.xxhash64(*others) if others else F.lit(0).cast("long")}
-
-
-def _same_row(a: str, b: str) -> Column:
-    return F.col(f"{a}._id").eqNullSafe(F.col(f"{b}._id")) & F.col(f"{a}._digest").eqNullSafe(F.col(f"{b}._digest")) & (F.col(f"{a}._rest") == F.col(f"{b}._rest"))
-
-
 def similar_links(keyed: DataFrame, marked: DataFrame, text_col: str = "text") -> DataFrame:
     """a, b: fingerprints to join, since texts of theirs have a Jaccard similarity of LIKENESS or more over shingles of five words.
 
@@ -216,7 +206,7 @@ def similar_links(keyed: DataFrame, marked: DataFrame, text_col: str = "text") -
     near = connected_components(cells.join(shared, "cell").where("fp != u").select("u", F.col("fp").alias("v")).distinct())
     near = materialise(near.select(F.col("node").alias("fp"), F.col("label").alias("near")), "simhash-near")
     one = marked.join(near, "fp").groupBy("_digest", "fp", "near").agg(F.min(F.struct("_id", "_rest")).alias("r")).select("_digest", "fp", "near", "r._id", "r._rest")
-    texts = keyed.alias("k").join(one.alias("o"), _same_row("k", "o")).select("o.fp", "o.near", F.col(f"k.{text_col}").cast("string").alias("text"))
+    texts = keyed.alias("k").join(one.alias("o"), same_row("k", "o")).select("o.fp", "o.near", F.col(f"k.row.`{text_col}`").cast("string").alias("text"))
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("fp", kind="stable")
@@ -233,8 +223,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows are joined by SimHash links, as in near_duplicates; with similar also by similar_links. Rows with a null doc_id or one that others share are
     told apart by their texts; of rows that are alike in all columns, one stays. Columns as in docs.
     """
-    keyed = docs.select("*", *[c.alias(k) for k, c in _row_keys(docs, id_col, text_col).items()])
-    rows = keyed.select("_id", "_digest", "_rest", F.col(text_col).cast("string").alias("text"))
+    keyed = rows_with_keys(docs, id_col, text_col)
+    rows = keyed.select(*ROW_KEYS, F.col(f"row.`{text_col}`").cast("string").alias("text"))
     schema = pa.schema([("_id", to_arrow_type(rows.schema["_id"].dataType)), ("_digest", pa.string()), ("_rest", pa.int64()), ("fp", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +244,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = connected_components(edges)
     best = per_fp.join(labels, per_fp["fp"] == labels["node"], "left").groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("r").alias("r"))
     best = materialise(best.select("r._id", "r._digest", "r._rest"), "simhash-firsts")
-    kept = keyed.alias("k").join(best.alias("o"), _same_row("k", "o"), "left_semi")
-    again = marked.groupBy("_id", "_digest", "_rest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").alias("o")
-    twice = best.alias("k").join(again, _same_row("k", "o"), "left_semi")
-    return (kept if twice.isEmpty() else kept.dropDuplicates(["_id", "_digest", "_rest"])).drop("_id", "_digest", "_rest")
+    kept = keyed.alias("k").join(best.alias("o"), same_row("k", "o"), "left_semi")
+    again = marked.groupBy(*ROW_KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1").alias("o")
+    twice = best.alias("k").join(again, same_row("k", "o"), "left_semi")
+    return (kept if twice.isEmpty() else kept.dropDuplicates([*ROW_KEYS])).select("row.*")

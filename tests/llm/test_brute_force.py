@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 import unicodedata
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequarry.llm import fingerprints, langid, queries, secrets, tokens
+from codequarry.llm import fingerprints, langid, mixing, queries, secrets, sharding, tokens
 
 
 @pytest.fixture(scope="module")
@@ -243,3 +244,39 @@ def test_collisions_in_all_columns_by_brute_force(spark, docs, texts, digits):
         assert r["edited_sha256"] == sha256(edited.encode()).hexdigest() and r["n_chars"] == len(own)
         assert r["near_edited"] == float(canon(own) == canon(edited)) and r["near_next"] == float(canon(own) == after)
     assert len(of) == len(set(of.values()))
+
+
+# 4
+
+
+def test_a_key_may_read_a_column_that_is_replaced(spark):
+    rows = spark.range(50).select(F.col("id").alias("slot"), F.lit("x").alias("shard"))
+    got = sharding.place(rows, F.col("slot"))
+    want = sharding.place(spark.range(50), F.col("id"))
+    assert sorted(map(tuple, got.select("slot", "shard").collect())) == sorted(map(tuple, want.select("slot", "shard").collect())) and set(got.columns) == {"slot", "shard"}
+
+
+# 10
+
+
+@pytest.mark.parametrize("kind", ["shared", "alike", "none"])
+def test_copies_add_up_whatever_the_ids(spark, kind, monkeypatch):
+    """Shared ids, rows alike in all columns, and rows without an id; a column has the name of a helper."""
+    monkeypatch.setattr(mixing, "STEP", 7)
+    ids = {"shared": lambda i: i % 100, "alike": lambda i: 1, "none": lambda i: None}[kind]
+    text = (lambda i: "same words in all") if kind == "alike" else (lambda i: f"a{i} b c {i % 7}")
+    rows = [(ids(i), text(i), "x" if i % 3 == 0 or kind == "alike" else "y", "z") for i in range(300)] + [(1000 + i, "w " * (i + 1), "v", "z") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _copy string")
+    mix = mixing.entropy_mix(docs).groupBy("doc_id").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    got = mixing.mixed_documents(docs)
+    assert got.schema == docs.schema
+    found = Counter(map(tuple, got.collect()))
+    times = Counter(rows)
+    for r in mix:
+        own = {row: found[row] for row in times if row[0] == r["doc_id"]}
+        assert sum(own.values()) == r["c"]
+        low = r["c"] // r["n"]
+        assert all(low * times[row] <= k <= (low + 1) * times[row] for row, k in own.items())
+    assert set(found) <= set(times) and sum(found.values()) == sum(r["c"] for r in mix)
+    again = Counter(map(tuple, mixing.mixed_documents(docs.repartition(5)).collect()))
+    assert kind != "alike" or again == found
