@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequarry.llm import fingerprints, langid, mixing, queries, secrets, sharding, tokens
+from codequarry.llm import fingerprints, langid, linededup, mixing, queries, secrets, sharding, tokens
 
 
 @pytest.fixture(scope="module")
@@ -280,3 +280,20 @@ def test_copies_add_up_whatever_the_ids(spark, kind, monkeypatch):
     assert set(found) <= set(times) and sum(found.values()) == sum(r["c"] for r in mix)
     again = Counter(map(tuple, mixing.mixed_documents(docs.repartition(5)).collect()))
     assert kind != "alike" or again == found
+
+
+# 3
+
+
+@pytest.mark.parametrize("op", ["dedup_lines", "dedup_passages"])
+def test_lines_take_time_in_proportion(spark, op):
+    """One long document, half of whose lines repeat."""
+
+    def run(n):
+        lines = [f"line {i % (n // 2)} of one document" for i in range(n)]
+        rows = spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")
+        got = getattr(linededup, op)(rows).first()
+        assert got["n_lines"] == n and 0.8 * (n // 2) <= got["n_removed"] <= n // 2  # chunks of one line stay
+
+    run(1000)
+    assert faster_than_square(run, 100_000, 200_000)
