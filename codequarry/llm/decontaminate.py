@@ -1,13 +1,15 @@
 """Benchmark decontamination by size-partitioned MinHash containment.
 
 An item is contained in a document if at least THRESHOLD of its distinct five-word shingles are among the document's. Similarity of a
-short item to a long document is near 0, so signatures of whole documents can't find it. Instead items are partitioned by the number of
-their shingles; a partition with at most u shingles keeps, for each item, the u - need(u) + 1 shingles that are least under one
-random order (a bottom-k MinHash sketch), need(n) being the shingles that containment asks of n. A document that contains an
-item misses fewer of its shingles than that, so it holds one of the sketch: looking up a document's shingles in the sketches finds every contained
-item, and documents smaller than a partition asks for skip it. Candidates are then verified by exact containment of the shingles themselves.
-
-Items come to the executors in blocks of at most BLOCK_CHARS code points (a longer item is a block of its own); each block is one pass over the documents.
+short item to a long document is near 0, so signatures of whole documents can't find it; sketches that keep all shingles below a bound can. One
+hash function orders all shingles. Items are partitioned by the number of their shingles. The sketch of an item of n shingles is its
+n - need(n) + 1 least hashes, need(n) being the shared shingles that containment asks of n; the greatest hash of a partition's sketches is the partition's
+bound. The sketch of a document in a partition is all its shingles' hashes up to that bound; documents too small to contain any item of a partition have none
+there. A document that contains an item misses fewer of its shingles than the item's sketch has, so the two sketches share a hash:
+no contained item is missed. Documents and items that share one are candidates, which exact containment of the shingles themselves verifies.
+
+Items come to the executors in blocks of at most BLOCK_CHARS code points (a longer item is a block of its own). Each block is one pass over the documents; where
+there are several, a block is built when its pass runs and given back after it.
 """
 
 from __future__ import annotations
@@ -19,11 +21,12 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ._common import kind
+from ._common import kind, materialise
 from ._words import slices, word_hashes
 
 WORDS, THRESHOLD, BLOCK_CHARS = 5, 0.8, 16_000_000
@@ -48,68 +51,109 @@ def need(n: int, threshold: float = THRESHOLD) -> int:
     return max(1, -int(-(n * threshold - 1e-9) // 1))
 
 
+def _mixed(sums: np.ndarray) -> np.ndarray:
+    sums = (sums ^ (sums >> np.uint64(31))) * _ODD
+    return sums ^ (sums >> np.uint64(29))
+
+
 def _shingle_hashes(words: np.ndarray) -> np.ndarray:
     """A hash of every WORDS neighbouring word hashes."""
-    n = len(words) - WORDS + 1
+    n = max(0, len(words) - WORDS + 1)
     sums = np.zeros(n, dtype=np.uint64)
     for k in range(WORDS):
         sums = (sums + words[k : k + n]) * _ODD
-    return sums
+    return _mixed(sums)
 
 
-class Index:
-    """Sketches of a block of items, and the shingles to verify by."""
+class Partition:
+    """The sketches of the items of one size class: sorted hashes and the item of each, the bound, and the fewest shingles a document must have."""
 
-    def __init__(self, items: list[tuple[object, str]], threshold: float) -> None:
-        self.items = [(key, frozenset(shingles_of(words_of(text)))) for key, text in items]
-        self.need = [need(len(s), threshold) for _, s in self.items]
-        self.partitions: dict[int, int] = {}  # by bit length of the size: the fewest shingles a document must have
-        self.sketch: dict[Shingle, list[int]] = {}
-        for i, (_, s) in enumerate(self.items):
-            if not s:
-                continue
-            part = len(s).bit_length()
-            self.partitions[part] = min(self.partitions.get(part, self.need[i]), self.need[i])
-            upper = (1 << part) - 1
-            k = min(len(s), upper - need(upper, threshold) + 1)
-            for shingle in sorted(s, key=lambda x: (xxhash.xxh64_intdigest(" ".join(x)), x))[:k]:
-                self.sketch.setdefault(shingle, []).append(i)
-        self.first = {s[0] for s in self.sketch}
-        self.least = min(self.partitions.values(), default=0)
-
-        whole = [s for s in self.sketch if len(s) == WORDS]
-        self.hashes = np.unique(_shingle_hashes(np.array([[xxhash.xxh64_intdigest(w) for w in s] for s in whole], dtype=np.uint64).reshape(-1, WORDS).ravel())[::WORDS]) if whole else np.zeros(0, dtype=np.uint64)
+    def __init__(self, pairs: list[tuple[int, np.ndarray]], needs: list[int]) -> None:
+        hashes, items = np.concatenate([h for _, h in pairs]), np.repeat([i for i, _ in pairs], [len(h) for _, h in pairs]).astype(np.int32)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.items, self.least = hashes[order], items[order], min(needs)
+        self.bound = self.hashes[-1]
         self.slots = np.zeros(1 << _SLOT_BITS, dtype=bool)
         self.slots[(self.hashes >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)] = True
 
-    def likely(self, texts: pa.Array) -> np.ndarray:
-        """Places of the texts that hold a sketched shingle, or that have fewer words than a shingle."""
+    def shared(self, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in sketch, items) of all pairs of equal hashes."""
+        at = np.nonzero(self.slots[(sketch >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])[0]
+        low, high = np.searchsorted(self.hashes, sketch[at], "left"), np.searchsorted(self.hashes, sketch[at], "right")
+        n = high - low
+        return np.repeat(at, n), self.items[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+class Index:
+    """Sketches of a block of items, and the texts to verify by. Its size is a few bytes a code point of the items."""
+
+    def __init__(self, items: list[tuple[object, str]], threshold: float) -> None:
+        self.items, self.threshold = items, threshold
+        self.short: dict[Shingle, list[int]] = {}  # items of fewer words than a shingle, by all their words
+        words, counts = word_hashes(pa.array([t for _, t in items], pa.string()), _WORD, lower=True)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+        needs: dict[int, list[int]] = {}
+        for i, (end, n) in enumerate(zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)):
+            if n < WORDS:
+                if n:
+                    self.short.setdefault(tuple(words_of(items[i][1])), []).append(i)
+                continue
+            hashes = np.unique(_shingle_hashes(words[end - n : end]))
+            asked = need(len(hashes), threshold)
+            by_size.setdefault(len(hashes).bit_length(), []).append((i, hashes[: len(hashes) - asked + 1]))
+            needs.setdefault(len(hashes).bit_length(), []).append(asked)
+        self.partitions = [Partition(pairs, needs[size]) for size, pairs in sorted(by_size.items())]
+
+    def candidates(self, sums: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> set[tuple[int, int]]:
+        """(text, item) that share a hash of their sketches. sums: hashes of every five words of all texts in a row; ends, counts: where a text's words end and how many they are."""
+        found: set[tuple[int, int]] = set()
+        for part in self.partitions:
+            at = np.nonzero(sums <= part.bound)[0]
+            place, item = part.shared(sums[at])
+            place = at[place]
+            text = np.searchsorted(ends, place, side="right")
+            good = (place + WORDS <= ends[text]) & (counts[text] - WORDS + 1 >= part.least)
+            found.update(zip(text[good].tolist(), item[good].tolist(), strict=True))
+        return found
+
+    def found(self, texts: pa.Array) -> Iterator[tuple[int, object, int, int]]:
+        """Place of the text, key, shingles and shared shingles of each contained item."""
         h, counts = word_hashes(texts, _WORD, lower=True)
-        short = np.nonzero((counts > 0) & (counts < WORDS))[0]
-        if len(h) < WORDS or not len(self.hashes):
-            return short
-        sums = _shingle_hashes(h)
-        at = np.nonzero(self.slots[(sums >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)])[0]
-        at = at[np.isin(sums[at], self.hashes)]
-        ends = np.cumsum(counts)
-        first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(ends, at + WORDS - 1, side="right")
-        return np.union1d(short, first[first == last])
+        sums, ends = _shingle_hashes(h), np.cumsum(counts)
+        pairs = self.candidates(sums, ends, counts)
+        if self.short:
+            for k in np.nonzero((counts > 0) & (counts < WORDS))[0].tolist():
+                pairs.update((k, i) for i in self.short.get(tuple(words_of(texts[k].as_py())), ()))
+        last, words, own = None, [], sums[:0]
+        for k, i in sorted(pairs):
+            if k != last:
+                last, words = k, words_of(texts[k].as_py())
+                own = sums[ends[k] - counts[k] : max(ends[k] - counts[k], ends[k] - WORDS + 1)]
+            key, text = self.items[i]
+            s = shingles_of(words_of(text))
+            # Only places whose hash is one of the item's can hold one of its shingles.
+            item = np.array([xxhash.xxh64_intdigest(w) for x in s for w in x], dtype=np.uint64)
+            hashes = _shingle_hashes(item)[::WORDS] if len(words) >= WORDS else None
+            here = {tuple(words)} if hashes is None else {tuple(words[p : p + WORDS]) for p in np.nonzero(np.isin(own, hashes))[0].tolist()}
+            if (shared := len(s & here)) >= need(len(s), self.threshold):
+                yield k, key, len(s), shared
 
     def search(self, text: str | None) -> Iterator[tuple[object, int, int]]:
-        """Key, shingles and shared shingles of each contained item."""
-        words = words_of(text)
-        if not words or not self.sketch or len(words) - WORDS + 1 < self.least > 1:
-            return
-        size, first, found = min(WORDS, len(words)), self.first, set()
-        for at in [i for i, w in enumerate(words) if w in first]:
-            found.update(self.sketch.get(tuple(words[at : at + size]), ()))
-        if not found:
-            return
-        own = shingles_of(words)
-        for i in sorted(found):
-            key, s = self.items[i]
-            if len(own) >= self.partitions[len(s).bit_length()] and (shared := len(s & own)) >= self.need[i]:
-                yield key, len(s), shared
+        """Key, shingles and shared shingles of each item that one text contains."""
+        for _, *row in self.found(pa.array([text], pa.string())):
+            yield tuple(row)
+
+
+def _blocks(items: Iterator[tuple[object, str]], most: int) -> Iterator[list[tuple[object, str]]]:
+    block, size = [], 0
+    for key, text in items:
+        if block and size + len(text) > most:
+            yield block
+            block, size = [], 0
+        block.append((key, text))
+        size += len(text)
+    if block:
+        yield block
 
 
 def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -122,22 +166,28 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         raise ValueError("threshold must be above 0 and at most 1")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(F.length("text") > 0)
-    blocks = max(1, -(-(tests.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS))
     schema = f"doc_id {kind(rows, 'doc_id')}, item_id {kind(tests, 'item_id')}, n_shingles long, shared long, containment double"
     ids = [to_arrow_type(df.schema[c].dataType) for df, c in ((rows, "doc_id"), (tests, "item_id"))]
     arrow = pa.schema([("doc_id", ids[0]), ("item_id", ids[1]), ("n_shingles", pa.int64()), ("shared", pa.int64()), ("containment", pa.float64())])
-    passes = []
-    for block in range(blocks):
-        own = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.toLocalIterator()], threshold))
 
-        def batches(parts: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def searched(index: Broadcast) -> DataFrame:
+        def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in slices(parts):
-                texts, ids = part["text"].chunk(0), part["doc_id"]
-                out = [(ids[k].as_py(), key, n, shared, shared / n) for k in index.value.likely(texts).tolist() for key, n, shared in index.value.search(texts[k].as_py())]
+                out = [(part["doc_id"][k].as_py(), key, n, shared, shared / n) for k, key, n, shared in index.value.found(part["text"].chunk(0))]
                 yield pa.RecordBatch.from_arrays([pa.array(column, type=t) for column, t in zip(zip(*out, strict=True) if out else [()] * 5, arrow.types, strict=True)], schema=arrow)
 
-        passes.append(rows.mapInArrow(batches, schema))
+        return rows.mapInArrow(batches, schema)
+
+    blocks = _blocks(((r["item_id"], r["text"]) for r in tests.toLocalIterator()), BLOCK_CHARS)
+    block, after = next(blocks, []), next(blocks, None)
+    if after is None:
+        return searched(docs.sparkSession.sparkContext.broadcast(Index(block, threshold)))
+    passes = []
+    while block:
+        index = docs.sparkSession.sparkContext.broadcast(Index(block, threshold))
+        passes.append(materialise(searched(index), "contained"))
+        index.destroy()
+        block, after = after, next(blocks, None)
     return reduce(DataFrame.union, passes)
 
 
