@@ -18,23 +18,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kind, materialise
+from ._common import kind, materialise, rows_with_keys, same_row
 from ._words import slices, word_hashes
 
-BUCKETS, SMOOTHING, SEED, SAMPLE, SLACK = 10_000, 1.0, 7, 20_000, 1.0
+BUCKETS, SMOOTHING, SEED, SAMPLE, SLACK = 10_000, 1.0, 7, 20_000, 2.0
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _pairs(first: np.ndarray, second: np.ndarray, buckets: int) -> np.ndarray:
-    mixed = first * _A + second * _B
-    mixed[first == second] = 0
-    return ((mixed >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    return ((first * _A + second * _B >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
 def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of a text's words and neighbouring pairs, with repeats. Words are runs of letters and digits or of other signs; all
-    pairs of a word and itself are one n-gram."""
+    """The buckets of a text's words and neighbouring pairs, with repeats. Words are runs of letters and digits or of other signs."""
     h = np.array([xxhash.xxh64_intdigest(t) for t in _TOKEN.findall(text or "")], dtype=np.uint64)
     return np.concatenate([(h % np.uint64(buckets)).astype(np.int64), _pairs(h[:-1], h[1:], buckets)])
 
@@ -101,14 +98,9 @@ def cutoff(keys: DataFrame, k: int, bins: int = 4096) -> tuple[float, int] | Non
     return low, k - (keys.where(F.col("key") > low).count())
 
 
-def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, log_weight, key, selected for every row; selected marks the k rows with the greatest key (log weight plus noise).
-
-    share: k as a share of all rows; None takes the good share of the labelled rows and the slack (1 without labels). A doc_id that is labelled good anywhere counts
-    as good; null labels and null doc_ids label nothing. Null and empty texts have weight 0. Equal rows have equal keys; where equal keys straddle the
-    cut-off, smaller doc_ids come first. Without good labels all log weights are 0. An empty table gives an empty result.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, buckets: int = BUCKETS, seed: int = SEED) -> DataFrame:
+    """What importance_sample returns, and t, a digest of the text: it tells rows of one doc_id, or of none, apart."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.md5(F.col(text_col).cast("string")).alias("t"))
     votes = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     votes = votes.groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = votes.where("label = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("doc_id", F.lit(True).alias("good"))
@@ -123,9 +115,9 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
             total, some = np.zeros(len(counts)), counts > 0
             if len(weight):
                 total[some] = np.add.reduceat(weight, (np.cumsum(counts) - counts)[some])
-            yield pa.RecordBatch.from_arrays([part["doc_id"].chunk(0), pa.array(np.maximum(2 * counts - 1, 0)), pa.array(total)], ["doc_id", "n_grams", "log_weight"])
+            yield pa.RecordBatch.from_arrays([part["doc_id"].chunk(0), part["t"].chunk(0), pa.array(np.maximum(2 * counts - 1, 0)), pa.array(total)], ["doc_id", "t", "n_grams", "log_weight"])
 
-    weighed = rows.mapInArrow(weigh, f"doc_id {kind(rows, 'doc_id')}, n_grams long, log_weight double")
+    weighed = rows.mapInArrow(weigh, f"doc_id {kind(rows, 'doc_id')}, t string, n_grams long, log_weight double")
     weighed = materialise(weighed.withColumn("key", F.col("log_weight") + _gumbel(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed)), "importance")
     n = weighed.count()
     if share is None:
@@ -136,14 +128,25 @@ def importance_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id"
     if cut is None:
         return weighed.withColumn("selected", F.lit(True))
     x, ties = cut
-    last = None
+    equal = F.lit(ties > 0)
     if 0 < ties < (tied := weighed.where(F.col("key") == x)).count():
-        last = tied.orderBy(F.col("doc_id").asc_nulls_last()).limit(ties).agg(F.max("doc_id")).first()[0]
-    equal = F.lit(ties > 0) if last is None else F.col("doc_id") <= last
-    return weighed.withColumn("selected", (F.col("key") > x) | ((F.col("key") == x) & F.coalesce(equal, F.lit(False))))
+        last, none = tied.orderBy(F.col("doc_id").asc_nulls_last()).limit(ties).agg(F.max("doc_id"), F.max(F.col("doc_id").isNull())).first()
+        equal = F.lit(True) if none else F.coalesce(F.col("doc_id") <= last, F.lit(False))
+    return weighed.withColumn("selected", (F.col("key") > x) | ((F.col("key") == x) & equal))
+
+
+def importance_sample(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, n_grams, log_weight, key, selected for every row; selected marks the k rows with the greatest key (log weight plus noise).
+
+    share: k as a share of all rows; None takes the good share of the labelled rows and the slack (1 without labels). A doc_id that is labelled good anywhere counts
+    as good; null labels and null doc_ids label nothing. Null and empty texts have weight 0. Rows of one doc_id have the same noise. Where equal keys straddle the
+    cut-off, smaller doc_ids come first, null last, and rows that are alike in key and doc_id are all selected if one of them is: then there are more than k.
+    Without good labels all log weights are 0. An empty table gives an empty result.
+    """
+    return _sampled(docs, labels, **options).drop("t")
 
 
-def keep_selected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is selected. Columns as in docs."""
-    kept = importance_sample(docs, labels, **options).where("selected").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
+def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that are selected, each judged by its own text, whatever doc_ids it shares. Columns as in docs, whatever their names."""
+    kept = _sampled(docs, labels, id_col=id_col, text_col=text_col, **options).where("selected").select(F.col("doc_id").alias("_id"), F.col("t").alias("_digest")).distinct()
+    return rows_with_keys(docs, id_col, text_col).alias("d").join(kept.alias("k"), same_row("d", "k", ("_id", "_digest")), "left_semi").select("row.*")

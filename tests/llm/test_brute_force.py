@@ -16,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from codequarry.llm import fingerprints, langid, linededup, mixing, queries, secrets, sharding, tokens
+from codequarry.llm import fingerprints, langid, linededup, mixing, quality, queries, secrets, sharding, tokens
 
 
 @pytest.fixture(scope="module")
@@ -297,3 +297,26 @@ def test_lines_take_time_in_proportion(spark, op):
 
     run(1000)
     assert faster_than_square(run, 100_000, 200_000)
+
+
+# 6
+
+
+def test_ties_without_an_id(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    selected = lambda rows, share: [(r["doc_id"], r["selected"]) for r in quality.importance_sample(spark.createDataFrame(rows, "doc_id long, text string"), none, share=share).collect()]
+    assert sum(s for _, s in selected([(None, "x")] * 20, 0.5)) == 20
+    some = selected([(None, "x")] * 20 + [(i, "y") for i in range(20)], 0.5)
+    assert 20 <= sum(s for _, s in some) < 40 and len({s for d, s in some if d is None}) == 1
+
+
+def test_rows_of_one_id_are_kept_by_their_texts(spark):
+    """Good and bad texts under one doc_id, or none: each row stands or falls by itself."""
+    good, bad = "the and of a sensible sentence about many things", "zzz qqq @@@ zzz qqq @@@ zzz qqq @@@"
+    rows = [(i, good, "z") for i in range(40)] + [(100 + i, bad, "z") for i in range(40)] + [(7, bad, "z"), (None, good, "z"), (None, bad, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in (*range(40), *range(100, 140))], "doc_id long, quality int")
+    kept = quality.keep_selected(docs, labels, share=41 / 83)
+    assert kept.schema == docs.schema
+    found = Counter(map(tuple, kept.collect()))
+    assert found[(7, good, "z")] == 1 and found[(7, bad, "z")] == 0 and found[(None, good, "z")] == 1 and found[(None, bad, "z")] == 0
