@@ -47,7 +47,7 @@ END_ID, SHARD_BYTES, LEAST, BLOCK = 2, 8 << 20, 16, 1 << 16
 BASE, END = 1 << 20, (1 << 32) - 1
 _HASH_BITS, _TOGETHER, _ODD = 20, 2000, np.uint64(0x9E3779B97F4A7C15)
 #: Signs that the tokenizer splits from letters beside them; code points that Arrow takes for white space, or lower-cases otherwise, than it does.
-_CUT, _UNLIKE = r"^(?P<core>(?s:.*?))(?P<end>[.,!?#%&*$|;:()]*)$", "[\x1c-\x1f\u0130]"
+_SIGNS, _UNLIKE = ".,!?#%&*$|;:()", "[\x1c-\x1f\u0130]"
 _MAGIC = b"RPG2"
 
 
@@ -99,25 +99,87 @@ def _encode_each(words: list[str], path: str) -> list[np.ndarray]:
     return [np.array(e.ids, dtype=np.uint32) for e in _tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
 
 
-def _encode_letters(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
+#: What a worker remembers of each tokenizer from shard to shard: words of letters, their ids, ids a word; at most KNOWN_WORDS words.
+KNOWN_WORDS = 1 << 18
+_known: dict[str, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
+
+
+def _letter_ids(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ids a word) of distinct lower-case words of letters; only those that aren't known yet are encoded."""
+    if path not in _known:
+        ids, sizes = _encode_letters(words, path)
+    else:
+        known, known_ids, known_sizes = _known[path]
+        at = pc.index_in(words, value_set=known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        new_words = words.filter(pa.array(new))
+        new_ids, new_sizes = _encode_letters(new_words, path)
+        which = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        which[new] = len(known) + np.arange(len(new_words))
+        every_ids, every_sizes = np.concatenate([known_ids, new_ids]), np.concatenate([known_sizes, new_sizes])
+        ids, sizes = _gather(every_ids, every_sizes, which), every_sizes[which]
+        if len(known) + len(new_words) <= KNOWN_WORDS:
+            _known[path] = pa.concat_arrays([known, new_words]), every_ids, every_sizes
+            return ids, sizes
+    if len(words) <= KNOWN_WORDS:
+        _known[path] = words, ids, sizes
+    return ids, sizes
+
+
+def _encode_letters(words: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, ids a word) of lower-case words of letters, encoded many to a text; a word's last id is the one whose token ends the word."""
-    texts = [" ".join(words[k : k + _TOGETHER]) for k in range(0, len(words), _TOGETHER)]
+    places = pa.array([*range(0, len(words), _TOGETHER), len(words)], pa.int32())
+    texts = pc.binary_join(pa.ListArray.from_arrays(places, words), " ").to_pylist() if len(words) else []
     found, sizes = [], []
     for k, e in enumerate(_letter_tokenizer(path).encode_batch_fast(texts, add_special_tokens=False)):
         ids = np.array(e.ids, dtype=np.uint32)
-        part = words[k * _TOGETHER : (k + 1) * _TOGETHER]
+        part = words.slice(k * _TOGETHER, _TOGETHER)
         n = np.diff(np.nonzero(_word_ends(path)[ids])[0], prepend=-1)
         if len(n) != len(part):
-            each = _encode_each(part, path)
+            each = _encode_each(part.to_pylist(), path)
             ids, n = np.concatenate(each), np.array([len(x) for x in each])
         found.append(ids)
         sizes.append(n)
     return (np.concatenate(found), np.concatenate(sizes)) if found else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
 
 
-def _numbered(values: pa.Array) -> tuple[list[str], np.ndarray]:
+def _numbered(values: pa.Array) -> tuple[pa.Array, np.ndarray]:
     d = values.dictionary_encode()
-    return d.dictionary.to_pylist(), d.indices.to_numpy(zero_copy_only=False)
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False)
+
+
+def _bytes_of(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings one after the other, and where each begins (with the end of the last)."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, dtype=np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, dtype=np.int32)
+    return np.frombuffer(data or b"", dtype=np.uint8)[at[0] : at[-1]], at.astype(np.int64) - int(at[0])
+
+
+def _signs_after(words: pa.Array, cores: pa.Array) -> pa.Array:
+    """What follows each core in its word."""
+    data, at = _bytes_of(words)
+    n = at[1:] - at[:-1] - np.diff(_bytes_of(cores)[1])
+    upto = np.concatenate([[0], np.cumsum(n)])
+    take = np.repeat(at[1:] - upto[1:], n) + np.arange(int(upto[-1]))
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data[take]))
+
+
+def _letters(words: pa.Array) -> np.ndarray:
+    """Whether each word is of letters alone and composed."""
+    plain = pc.string_is_ascii(words).to_numpy(zero_copy_only=False)
+    whole = pc.ascii_is_alpha(words).to_numpy(zero_copy_only=False) & plain
+    other = np.nonzero(~plain)[0]
+    whole[other] = [c.isalpha() and is_normalized("NFC", c) for c in words.take(pa.array(other)).to_pylist()]
+    return whole
+
+
+def _unlike(texts: pa.Array) -> np.ndarray:
+    """Places of the texts that hold a sign of _UNLIKE. Nearly always none does, which their bytes tell: 0x1c to 0x1f, or 0xc4 0xb0."""
+    data, _ = _bytes_of(texts)
+    dotted = np.nonzero(data[:-1] == 0xC4)[0]
+    if not ((data - np.uint8(0x1C)) < 4).any() and not (data[dotted + 1] == 0xB0).any():
+        return np.zeros(0, dtype=np.int64)
+    return np.nonzero(pc.match_substring_regex(texts, _UNLIKE).to_numpy(zero_copy_only=False))[0]
 
 
 def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -135,11 +197,11 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     parts between white space, and those of a part are those of its letters and of the signs at its end. Each distinct piece is encoded once, and
     the texts' ids are gathered from the pieces'. Any other tokenizer encodes whole texts.
     """
-    texts = pc.fill_null(texts, "")
+    texts = pc.fill_null(texts, "").cast(pa.string())
     if not by_parts(path):
         each = _encode_each(texts.to_pylist(), path)
         return np.concatenate([np.zeros(0, dtype=np.uint32), *each]), np.array([len(x) for x in each], dtype=np.int64)
-    unlike = np.nonzero(pc.match_substring_regex(texts, _UNLIKE).to_numpy(zero_copy_only=False))[0]
+    unlike = _unlike(texts)
     if len(unlike):
         keep = np.ones(len(texts), dtype=bool)
         keep[unlike] = False
@@ -148,16 +210,16 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         split = pc.utf8_split_whitespace(texts)
     word = split.flatten().dictionary_encode()
     distinct, at = word.dictionary, word.indices.to_numpy(zero_copy_only=False)
-    cut = pc.extract_regex(pc.utf8_lower(distinct), _CUT)
-    core, end = cut.field("core"), cut.field("end")
+    lower = pc.utf8_lower(distinct)
+    core = pc.utf8_rtrim(lower, characters=_SIGNS)
     cores, core_of = _numbered(core)
-    ends, end_of = _numbered(end)
-    whole = np.array([c.isalpha() and (c.isascii() or is_normalized("NFC", c)) for c in cores], dtype=bool) if cores else np.zeros(0, dtype=bool)
+    ends, end_of = _numbered(_signs_after(lower, core))
+    whole = _letters(cores)
     easy = whole[core_of]  # words whose ids are those of their letters and of their signs
     hard = distinct.filter(pa.array(~easy)).to_pylist()
 
-    letter_ids, letter_sizes = _encode_letters([c for c, w in zip(cores, whole, strict=True) if w], path)
-    others = _encode_each(ends, path) + _encode_each(hard, path)
+    letter_ids, letter_sizes = _letter_ids(cores.filter(pa.array(whole)), path)
+    others = _encode_each(ends.to_pylist(), path) + _encode_each(hard, path)
     ids = np.concatenate([letter_ids, *others]) if others else letter_ids
     sizes = np.concatenate([letter_sizes, np.array([len(x) for x in others], dtype=np.int64)]).astype(np.int64)
     # Two pieces a word: letters and signs, or the word as it is and the empty sign.
@@ -181,30 +243,53 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
-def _apart(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those of the ascending positions that are in odd place in a run of neighbours, so that none are neighbours; and a mask for them."""
+def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """A mask for those of the ascending places that are in odd place in a run of neighbours, so that none are neighbours; after: the place after each."""
     index = np.arange(len(at))
-    start = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, index, 0)) if len(at) else index
-    odd = (index - start) % 2 == 0
-    return at[odd], odd
+    start = np.maximum.accumulate(np.where(np.append(True, after[:-1] != at[1:])[: len(at)], index, 0))
+    return (index - start) % 2 == 0
 
 
 def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mask of the keys that occur `least` times or more, rank among such keys of each of these, number by rank); the most frequent key is last.
+    """(places of the keys that occur `least` times or more, rank among such keys of each of these, number by rank); the most frequent key is last.
 
-    Keys are first counted by hash: a slot's count bounds theirs from above, so only those in full slots are sorted.
+    Keys are counted by hash: a slot's count bounds theirs from above, so only those in full slots are looked at. There one key stands for its slot, most likely a
+    frequent one; those that aren't it are left for another hash, and the last few are sorted.
     """
-    slot = (keys * _ODD >> np.uint64(64 - _HASH_BITS)).astype(np.uint32)
-    often = (np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot]
-    found, which, n = np.unique(keys[often], return_inverse=True, return_counts=True)
+    at, factor, found, numbers, places, first = None, int(_ODD), [], [], [], 0
+    while len(keys) > 1 << _HASH_BITS - 6:
+        slot = (keys * np.uint64(factor) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
+        often = np.nonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot])[0]
+        at, keys, slot = often if at is None else at[often], keys[often], slot[often]
+        here = np.empty(1 << _HASH_BITS, dtype=np.uint64)
+        here[slot] = keys
+        own = here[slot] == keys
+        full = np.nonzero((n := np.bincount(slot[own], minlength=1 << _HASH_BITS)) >= least)[0]
+        number = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
+        number[full] = np.arange(first, first + len(full))
+        mine = number[slot]
+        taken = np.nonzero(own & (mine >= 0))[0]
+        found.append(np.stack([here[full], n[full].astype(np.uint64)]))
+        numbers.append(mine[taken])
+        places.append(at[taken])
+        rest = np.nonzero(~own)[0]
+        first, at, keys, factor = first + len(full), at[rest], keys[rest], factor * int(_ODD) % (1 << 64)
+    at = np.arange(len(keys)) if at is None else at
+    some, which, n = np.unique(keys, return_inverse=True, return_counts=True)
+    taken = (n >= least)[which]
+    found.append(np.stack([some[n >= least], n[n >= least].astype(np.uint64)]))
+    numbers.append((first + np.cumsum(n >= least) - 1)[which[taken]])
+    places.append(at[taken])
+    place, number = np.concatenate(places), np.concatenate(numbers)
+    if len(places) > 1:
+        order = np.argsort(place, kind="stable")
+        place, number = place[order], number[order]
+    key, n = np.concatenate(found, axis=1)
     # Ties stand in the order of a hash, else the pairs of a repeated passage would wait for one another in turn.
-    order = np.lexsort((found * _ODD, n))
-    order = order[n[order] >= least]
-    rank = np.full(len(found), -1, dtype=np.int32)
+    order = np.lexsort((key * _ODD, n))
+    rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order))
-    ranks = rank[which]
-    often[often] = ranks >= 0
-    return often, ranks[ranks >= 0], n[order]
+    return place, rank[number], n[order].astype(np.int64)
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -212,24 +297,25 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
 
     In a round each place goes to its most frequent pair, from left to right where a pair overlaps itself; pairs that hold half their places, and always
     the most frequent one, become rules. After the first round only pairs that were frequent and those beside replaced places are counted again:
-    the count of any other pair can't grow.
+    the count of any other pair can't grow. Replaced places stay in the array, passed over by links, until a quarter of it is such.
     """
-    x, rules = ids.astype(np.uint32), []
-    ask = np.ones(len(x), dtype=bool)
-    while len(x) > 1:
-        here = np.nonzero(ask[:-1])[0]
-        here = here[(x[here] != END) & (x[here + 1] != END)]
-        keys = x[here].astype(np.uint64) << np.uint64(32) | x[here + 1]
-        often, rank, n = _frequent(keys, least)
+    x, rules, n_rules = ids.astype(np.uint32), [], 0
+    links = lambda: (np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1))
+    after, before = links()
+    alive, gone = np.ones(len(x), dtype=bool), 0
+    ranks = np.zeros(len(x) + 1, dtype=np.int32)  # the rank, from 1, of each place's pair; the last is for no place, before the first or after the last
+    here = np.nonzero((x[:-1] != END) & (x[1:] != END))[0]
+    while len(here):
+        keys = x[here].astype(np.uint64) << np.uint64(32) | x[after[here]]
+        place, rank, n = _frequent(keys, least)
         if not len(n):
             break
-        here, keys = here[often], keys[often]
-        # The rank, from 1, of each place's pair, with an empty place at either end.
-        ranks = np.zeros(len(x) + 2, dtype=np.int32)
-        ranks[here + 1] = rank + 1
+        here, keys = here[place], keys[place]
         own = rank + 1
-        wins = np.nonzero((own >= ranks[here]) & (own >= ranks[here + 2]))[0]
-        wins = wins[_apart(here[wins])[1]]
+        ranks[here] = own
+        wins = np.nonzero((own >= ranks[before[here]]) & (own >= ranks[after[here]]))[0]
+        ranks[here] = 0
+        wins = wins[_apart(here[wins], after[here[wins]])]
         held = np.bincount(rank[wins], minlength=len(n))
         taken = 2 * held >= n
         taken[-1] = True
@@ -237,16 +323,29 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         at, number = here[wins], np.cumsum(taken) - 1
         pairs = np.empty(int(taken.sum()), dtype=np.uint64)
         pairs[number[rank[wins]]] = keys[wins]
-        ask[:] = False
+        x[at] = (BASE + n_rules + number[rank[wins]]).astype(np.uint32)
+        n_rules += len(pairs)
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
+        dropped = after[at]
+        alive[dropped] = False
+        gone += len(dropped)
+        then = after[dropped]
+        after[at] = then
+        before[then[then < len(x)]] = at[then < len(x)]
+        ask = np.zeros(len(x), dtype=bool)
         ask[here] = True
         ask[at] = True
-        ask[np.maximum(at, 1) - 1] = True
-        x[at] = (BASE + sum(map(len, rules)) + number[rank[wins]]).astype(np.uint32)
-        keep = np.ones(len(x), dtype=bool)
-        keep[at + 1] = False
-        x, ask = x[keep], ask[keep]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
-    return x, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+        ask[np.maximum(before[at], 0)] = True
+        ask &= alive
+        ask[-1] = False
+        if 4 * gone >= len(x):
+            x, ask = x[alive], ask[alive]
+            after, before = links()
+            alive, gone, ranks = np.ones(len(x), dtype=bool), 0, np.zeros(len(x) + 1, dtype=np.int32)
+        here = np.nonzero(ask)[0]
+        here = here[after[here] < len(x)]
+        here = here[(x[here] != END) & (x[after[here]] != END)]
+    return x[alive], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:

@@ -197,6 +197,19 @@ def test_other_tokenizers_encode_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [w.ids for w in want]
 
 
+def test_known_words_change_nothing(texts, monkeypatch):
+    """Shards one after the other, with a memory that all, some or none of their words fit in."""
+    path, every = queries.tokenizer_path(), [t or "" for _, t in sorted(texts.items())]
+    want = [w.ids for w in tokens._tokenizer(path).encode_batch(every, add_special_tokens=False)]
+    for most in (1 << 18, 3000, 300, 0):
+        monkeypatch.setattr(tokens, "KNOWN_WORDS", most)
+        tokens._known.clear()
+        for k in [*range(0, len(every), 20), 0]:
+            ids, counts = tokens.encode(pa.array(every[k : k + 20], pa.string()), path)
+            assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want[k : k + 20]
+            assert all(len(words) <= most for words, *_ in tokens._known.values())
+
+
 def test_rows_of_one_id_are_dealt_over_partitions(spark, tmp_path):
     rows = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
     with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
