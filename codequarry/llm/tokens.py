@@ -497,20 +497,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("part_first"))
     starts = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("first")).join(parts, "part").select("part", "shard", (F.col("first") + F.col("part_first")).alias("first"))
-    whole = table.select("part", "shard", "doc_ids", "payload").join(starts, ["part", "shard"]).select("first", "doc_ids", "payload")
     id_type = table.schema["doc_ids"].dataType.elementType
-    arrow = pa.schema([("doc_id", to_arrow_type(id_type)), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-
-    def decode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for k in range(part.num_rows):
-                shard = Shard(part["payload"][k].as_py())
-                crc = [zlib.crc32(x.tobytes()) for x in shard.documents()]
-                n = shard.n_ids.astype(np.int64)
-                start = part["first"][k].as_py() + np.cumsum(n) - n
-                yield pa.RecordBatch.from_arrays([part["doc_ids"][k].values.cast(arrow.field(0).type), pa.array(start), pa.array(n), pa.array(crc, type=pa.int64())], schema=arrow)
-
-    return whole.mapInArrow(decode, f"doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    arrow = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("doc_id", to_arrow_type(id_type)), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                shard = Shard(batch["payload"][k].as_py())
+                crc = [zlib.crc32(x) for x in shard.documents()]
+                n, same = shard.n_ids.astype(np.int64), np.zeros(len(crc), dtype=np.int32)
+                ids = batch["doc_ids"][k].values.cast(arrow.field("doc_id").type)
+                yield pa.RecordBatch.from_arrays([pa.array(same + batch["part"][k].as_py()), pa.array(same + batch["shard"][k].as_py()), ids, pa.array(shard.id_from[:-1]), pa.array(n), pa.array(crc, type=pa.int64())], schema=arrow)
+
+    # The documents' rows travel to their shard's first start, not the payloads.
+    rows = table.select("part", "shard", "doc_ids", "payload").mapInArrow(decode, f"part int, shard int, doc_id {id_type.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("first") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
