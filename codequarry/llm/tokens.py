@@ -256,7 +256,8 @@ def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     Keys are counted by hash: a slot's count bounds theirs from above, so only those in full slots are looked at. There one key stands for its slot, most likely a
     frequent one; those that aren't it are left for another hash, and the last few are sorted.
     """
-    at, factor, found, numbers, places, first = None, int(_ODD), [], [], [], 0
+    at, factor, found, first = None, int(_ODD), [], 0
+    numbers = np.full(len(keys), -1, dtype=np.int32)
     while len(keys) > 1 << _HASH_BITS - 6:
         slot = (keys * np.uint64(factor) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
         often = np.nonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot])[0]
@@ -270,26 +271,21 @@ def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
         mine = number[slot]
         taken = np.nonzero(own & (mine >= 0))[0]
         found.append(np.stack([here[full], n[full].astype(np.uint64)]))
-        numbers.append(mine[taken])
-        places.append(at[taken])
+        numbers[at[taken]] = mine[taken]
         rest = np.nonzero(~own)[0]
         first, at, keys, factor = first + len(full), at[rest], keys[rest], factor * int(_ODD) % (1 << 64)
     at = np.arange(len(keys)) if at is None else at
     some, which, n = np.unique(keys, return_inverse=True, return_counts=True)
     taken = (n >= least)[which]
     found.append(np.stack([some[n >= least], n[n >= least].astype(np.uint64)]))
-    numbers.append((first + np.cumsum(n >= least) - 1)[which[taken]])
-    places.append(at[taken])
-    place, number = np.concatenate(places), np.concatenate(numbers)
-    if len(places) > 1:
-        order = np.argsort(place, kind="stable")
-        place, number = place[order], number[order]
+    numbers[at[taken]] = (first + np.cumsum(n >= least) - 1)[which[taken]]
+    place = np.nonzero(numbers >= 0)[0]
     key, n = np.concatenate(found, axis=1)
     # Ties stand in the order of a hash, else the pairs of a repeated passage would wait for one another in turn.
     order = np.lexsort((key * _ODD, n))
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order))
-    return place, rank[number], n[order].astype(np.int64)
+    return place, rank[numbers[place]], n[order].astype(np.int64)
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -300,22 +296,22 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     the count of any other pair can't grow. Replaced places stay in the array, passed over by links, until a quarter of it is such.
     """
     x, rules, n_rules = ids.astype(np.uint32), [], 0
-    links = lambda: (np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1))
-    after, before = links()
+    after = before = None  # the place after and before each, once some in between are passed over
     alive, gone = np.ones(len(x), dtype=bool), 0
     ranks = np.zeros(len(x) + 1, dtype=np.int32)  # the rank, from 1, of each place's pair; the last is for no place, before the first or after the last
     here = np.nonzero((x[:-1] != END) & (x[1:] != END))[0]
     while len(here):
-        keys = x[here].astype(np.uint64) << np.uint64(32) | x[after[here]]
+        keys = x[here].astype(np.uint64) << np.uint64(32) | x[here + 1 if after is None else after[here]]
         place, rank, n = _frequent(keys, least)
         if not len(n):
             break
         here, keys = here[place], keys[place]
         own = rank + 1
         ranks[here] = own
-        wins = np.nonzero((own >= ranks[before[here]]) & (own >= ranks[after[here]]))[0]
+        wins = np.nonzero(own >= ranks[here - 1 if before is None else before[here]])[0]
+        wins = wins[own[wins] >= ranks[here[wins] + 1 if after is None else after[here[wins]]]]
         ranks[here] = 0
-        wins = wins[_apart(here[wins], after[here[wins]])]
+        wins = wins[_apart(here[wins], here[wins] + 1 if after is None else after[here[wins]])]
         held = np.bincount(rank[wins], minlength=len(n))
         taken = 2 * held >= n
         taken[-1] = True
@@ -326,25 +322,30 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         x[at] = (BASE + n_rules + number[rank[wins]]).astype(np.uint32)
         n_rules += len(pairs)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
-        dropped = after[at]
+        dropped = at + 1 if after is None else after[at]
         alive[dropped] = False
         gone += len(dropped)
-        then = after[dropped]
-        after[at] = then
-        before[then[then < len(x)]] = at[then < len(x)]
         ask = np.zeros(len(x), dtype=bool)
         ask[here] = True
         ask[at] = True
-        ask[np.maximum(before[at], 0)] = True
-        ask &= alive
-        ask[-1] = False
+        # A place before one, if it is passed over now, belongs to a replaced place, which is asked.
+        ask[np.maximum(at - 1 if before is None else before[at], 0)] = True
         if 4 * gone >= len(x):
+            ask &= alive
             x, ask = x[alive], ask[alive]
-            after, before = links()
+            after = before = None
             alive, gone, ranks = np.ones(len(x), dtype=bool), 0, np.zeros(len(x) + 1, dtype=np.int32)
-        here = np.nonzero(ask)[0]
-        here = here[after[here] < len(x)]
-        here = here[(x[here] != END) & (x[after[here]] != END)]
+            here = np.nonzero(ask[:-1])[0]
+        else:
+            if after is None:
+                after, before = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1)
+            then = after[dropped]
+            after[at] = then
+            before[then[then < len(x)]] = at[then < len(x)]
+            ask &= alive
+            here = np.nonzero(ask)[0]
+            here = here[after[here] < len(x)]
+        here = here[(x[here] != END) & (x[here + 1 if after is None else after[here]] != END)]
     return x[alive], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
