@@ -184,10 +184,10 @@ def _unlike(texts: pa.Array) -> np.ndarray:
 
 def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of pieces `which`, one after the other; ids and sizes are of all pieces in turn."""
-    n = sizes[which]
-    at = np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(n) - n), n).astype(np.int32)
-    at += np.arange(len(at), dtype=np.int32)
-    return ids[at]
+    n = _take(sizes, which) if len(which) else sizes[:0]
+    at = np.repeat(_take(np.cumsum(sizes) - sizes, which) - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return _take(ids, at) if len(at) else ids[:0]
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -243,49 +243,58 @@ def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     return flat, counts
 
 
+def _take(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """values[at], for places that are all inside: faster than an index, and much faster than a mask."""
+    return values.take(at, mode="clip")
+
+
+def _where(mask: np.ndarray) -> np.ndarray:
+    return np.nonzero(mask)[0]
+
+
 def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """A mask for those of the ascending places that are in odd place in a run of neighbours, so that none are neighbours; after: the place after each."""
+    """Which of the ascending places are in odd place in a run of neighbours, so that none are neighbours; after: the place after each."""
     index = np.arange(len(at))
-    start = np.maximum.accumulate(np.where(np.append(True, after[:-1] != at[1:])[: len(at)], index, 0))
-    return (index - start) % 2 == 0
+    first = np.ones(len(at), dtype=bool)
+    first[1:] = after[:-1] != at[1:]
+    return _where((index - np.maximum.accumulate(np.where(first, index, 0))) & 1 == 0)
 
 
 def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places of the keys that occur `least` times or more, rank among such keys of each of these, number by rank); the most frequent key is last.
 
-    Keys are counted by hash: a slot's count bounds theirs from above, so only those in full slots are looked at. There one key stands for its slot, most likely a
-    frequent one; those that aren't it are left for another hash, and the last few are sorted.
+    Keys are counted by hash: one key stands for its slot, most likely the most frequent there; those that aren't it are left for another hash, and the last
+    few are sorted.
     """
     at, factor, found, first = None, int(_ODD), [], 0
     numbers = np.full(len(keys), -1, dtype=np.int32)
     while len(keys) > 1 << _HASH_BITS - 6:
         slot = (keys * np.uint64(factor) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
-        often = np.nonzero((np.bincount(slot, minlength=1 << _HASH_BITS) >= least)[slot])[0]
-        at, keys, slot = often if at is None else at[often], keys[often], slot[often]
         here = np.empty(1 << _HASH_BITS, dtype=np.uint64)
         here[slot] = keys
-        own = here[slot] == keys
-        full = np.nonzero((n := np.bincount(slot[own], minlength=1 << _HASH_BITS)) >= least)[0]
+        own = _take(here, slot) == keys
+        mine = _where(own)
+        own_slot = _take(slot, mine)
+        n = np.bincount(own_slot, minlength=1 << _HASH_BITS)
+        full = _where(n >= least)
         number = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
         number[full] = np.arange(first, first + len(full))
-        mine = number[slot]
-        taken = np.nonzero(own & (mine >= 0))[0]
+        numbers[mine if at is None else _take(at, mine)] = _take(number, own_slot)
         found.append(np.stack([here[full], n[full].astype(np.uint64)]))
-        numbers[at[taken]] = mine[taken]
-        rest = np.nonzero(~own)[0]
-        first, at, keys, factor = first + len(full), at[rest], keys[rest], factor * int(_ODD) % (1 << 64)
+        rest = _where(~own)
+        first, at, keys, factor = first + len(full), rest if at is None else _take(at, rest), _take(keys, rest), factor * int(_ODD) % (1 << 64)
     at = np.arange(len(keys)) if at is None else at
     some, which, n = np.unique(keys, return_inverse=True, return_counts=True)
-    taken = (n >= least)[which]
+    taken = _where((n >= least)[which])
     found.append(np.stack([some[n >= least], n[n >= least].astype(np.uint64)]))
     numbers[at[taken]] = (first + np.cumsum(n >= least) - 1)[which[taken]]
-    place = np.nonzero(numbers >= 0)[0]
+    place = _where(numbers >= 0)
     key, n = np.concatenate(found, axis=1)
     # Ties stand in the order of a hash, else the pairs of a repeated passage would wait for one another in turn.
     order = np.lexsort((key * _ODD, n))
     rank = np.empty(len(order), dtype=np.int32)
     rank[order] = np.arange(len(order))
-    return place, rank[numbers[place]], n[order].astype(np.int64)
+    return place, rank[_take(numbers, place)], n[order].astype(np.int64)
 
 
 def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -297,56 +306,61 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     """
     x, rules, n_rules = ids.astype(np.uint32), [], 0
     after = before = None  # the place after and before each, once some in between are passed over
+    nxt = lambda at: at + 1 if after is None else _take(after, at)
+    prev = lambda at: at - 1 if before is None else _take(before, at)
     alive, gone = np.ones(len(x), dtype=bool), 0
-    ranks = np.zeros(len(x) + 1, dtype=np.int32)  # the rank, from 1, of each place's pair; the last is for no place, before the first or after the last
-    here = np.nonzero((x[:-1] != END) & (x[1:] != END))[0]
+    ranks = np.zeros(len(x) + 2, dtype=np.int32)  # the rank, from 1, of the pair at each place, itself counted from 1: the first and last are no place
+    here = _where((x[:-1] != END) & (x[1:] != END))
     while len(here):
-        keys = x[here].astype(np.uint64) << np.uint64(32) | x[here + 1 if after is None else after[here]]
+        keys = _take(x, here).astype(np.uint64) << np.uint64(32) | _take(x, nxt(here))
         place, rank, n = _frequent(keys, least)
         if not len(n):
             break
-        here, keys = here[place], keys[place]
-        own = rank + 1
-        ranks[here] = own
-        wins = np.nonzero(own >= ranks[here - 1 if before is None else before[here]])[0]
-        wins = wins[own[wins] >= ranks[here[wins] + 1 if after is None else after[here[wins]]]]
-        ranks[here] = 0
-        wins = wins[_apart(here[wins], here[wins] + 1 if after is None else after[here[wins]])]
-        held = np.bincount(rank[wins], minlength=len(n))
+        here, own = _take(here, place), rank + 1
+        ranks[here + 1] = own
+        wins = _where(own >= _take(ranks, prev(here) + 1))
+        at = _take(here, wins)
+        wins = _take(wins, _where(_take(own, wins) >= _take(ranks, nxt(at) + 1)))
+        ranks[here + 1] = 0
+        at = _take(here, wins)
+        wins = _take(wins, _apart(at, nxt(at)))
+        held = np.bincount(_take(rank, wins), minlength=len(n))
         taken = 2 * held >= n
         taken[-1] = True
-        wins = wins[taken[rank[wins]]]
-        at, number = here[wins], np.cumsum(taken) - 1
+        wins = _take(wins, _where(_take(taken, _take(rank, wins))))
+        at, won = _take(here, wins), _take(rank, wins)
+        number = np.cumsum(taken) - 1
         pairs = np.empty(int(taken.sum()), dtype=np.uint64)
-        pairs[number[rank[wins]]] = keys[wins]
-        x[at] = (BASE + n_rules + number[rank[wins]]).astype(np.uint32)
+        pairs[number[won]] = _take(_take(keys, place), wins)
+        x[at] = (BASE + n_rules + number)[won].astype(np.uint32)
         n_rules += len(pairs)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
-        dropped = at + 1 if after is None else after[at]
+        dropped = nxt(at)
         alive[dropped] = False
         gone += len(dropped)
         ask = np.zeros(len(x), dtype=bool)
         ask[here] = True
         ask[at] = True
         # A place before one, if it is passed over now, belongs to a replaced place, which is asked.
-        ask[np.maximum(at - 1 if before is None else before[at], 0)] = True
+        ask[np.maximum(prev(at), 0)] = True
         if 4 * gone >= len(x):
-            ask &= alive
-            x, ask = x[alive], ask[alive]
+            left = _where(alive)
+            x, ask = _take(x, left), _take(ask, left)
             after = before = None
-            alive, gone, ranks = np.ones(len(x), dtype=bool), 0, np.zeros(len(x) + 1, dtype=np.int32)
-            here = np.nonzero(ask[:-1])[0]
+            alive, gone, ranks = np.ones(len(x), dtype=bool), 0, np.zeros(len(x) + 2, dtype=np.int32)
+            here = _where(ask[:-1])
         else:
             if after is None:
                 after, before = np.arange(1, len(x) + 1), np.arange(-1, len(x) - 1)
-            then = after[dropped]
+            then = _take(after, dropped)
             after[at] = then
-            before[then[then < len(x)]] = at[then < len(x)]
+            inside = then < len(x)
+            before[then[inside]] = at[inside]
             ask &= alive
-            here = np.nonzero(ask)[0]
-            here = here[after[here] < len(x)]
-        here = here[(x[here] != END) & (x[here + 1 if after is None else after[here]] != END)]
-    return x[alive], np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
+            here = _where(ask)
+            here = here[_take(after, here) < len(x)]
+        here = _take(here, _where((_take(x, here) != END) & (_take(x, nxt(here)) != END)))
+    return _take(x, _where(alive)), np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
