@@ -185,9 +185,13 @@ def _unlike(texts: pa.Array) -> np.ndarray:
 def _gather(ids: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The ids of pieces `which`, one after the other; ids and sizes are of all pieces in turn."""
     n = _take(sizes, which) if len(which) else sizes[:0]
-    at = np.repeat(_take(np.cumsum(sizes) - sizes, which) - (np.cumsum(n) - n), n)
-    at += np.arange(len(at))
-    return _take(ids, at) if len(at) else ids[:0]
+    first, upto = np.cumsum(sizes) - sizes, np.concatenate([[0], np.cumsum(n)])
+    out = np.empty(int(upto[-1]), dtype=ids.dtype)
+    for part in _parts(len(which), 1 << 16):
+        m, low, high = n[part], int(upto[part.start]), int(upto[part.stop])
+        if high > low:
+            out[low:high] = _take(ids, np.repeat(_take(first, which[part]) - upto[part] + low, m) + np.arange(high - low))
+    return out
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -252,6 +256,11 @@ def _where(mask: np.ndarray) -> np.ndarray:
     return np.nonzero(mask)[0]
 
 
+def _parts(n: int, size: int = 1 << 19) -> list[slice]:
+    """Parts of an array of n, so that what is made of them on the way is small."""
+    return [slice(k, min(n, k + size)) for k in range(0, n, size)]
+
+
 def _apart(at: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Which of the ascending places are in odd place in a run of neighbours, so that none are neighbours; after: the place after each."""
     index = np.arange(len(at))
@@ -269,17 +278,20 @@ def _frequent(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.
     at, factor, found, first = None, int(_ODD), [], 0
     numbers = np.full(len(keys), -1, dtype=np.int32)
     while len(keys) > 1 << _HASH_BITS - 6:
-        slot = (keys * np.uint64(factor) >> np.uint64(64 - _HASH_BITS)).view(np.int64)
-        here = np.empty(1 << _HASH_BITS, dtype=np.uint64)
-        here[slot] = keys
-        own = _take(here, slot) == keys
-        mine = _where(own)
-        own_slot = _take(slot, mine)
-        n = np.bincount(own_slot, minlength=1 << _HASH_BITS)
+        slots = lambda part: (keys[part] * np.uint64(factor) >> np.uint64(64 - _HASH_BITS)).view(np.int64)  # noqa: B023, E731
+        here, n, own = np.empty(1 << _HASH_BITS, dtype=np.uint64), np.zeros(1 << _HASH_BITS, dtype=np.int64), np.empty(len(keys), dtype=bool)
+        for part in _parts(len(keys)):
+            here[slots(part)] = keys[part]
+        for part in _parts(len(keys)):
+            slot = slots(part)
+            own[part] = _take(here, slot) == keys[part]
+            n += np.bincount(_take(slot, _where(own[part])), minlength=1 << _HASH_BITS)
         full = _where(n >= least)
         number = np.full(1 << _HASH_BITS, -1, dtype=np.int32)
         number[full] = np.arange(first, first + len(full))
-        numbers[mine if at is None else _take(at, mine)] = _take(number, own_slot)
+        for part in _parts(len(keys)):
+            mine = _where(own[part])
+            numbers[mine + part.start if at is None else _take(at[part], mine)] = _take(number, _take(slots(part), mine))
         found.append(np.stack([here[full], n[full].astype(np.uint64)]))
         rest = _where(~own)
         first, at, keys, factor = first + len(full), rest if at is None else _take(at, rest), _take(keys, rest), factor * int(_ODD) % (1 << 64)
@@ -308,20 +320,28 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     after = before = None  # the place after and before each, once some in between are passed over
     nxt = lambda at: at + 1 if after is None else _take(after, at)
     prev = lambda at: at - 1 if before is None else _take(before, at)
+
+    def pairs_at(at: np.ndarray) -> np.ndarray:
+        keys = np.empty(len(at), dtype=np.uint64)
+        for part in _parts(len(at)):
+            keys[part] = _take(x, at[part]).astype(np.uint64) << np.uint64(32) | _take(x, nxt(at[part]))
+        return keys
+
     alive, gone = np.ones(len(x), dtype=bool), 0
     ranks = np.zeros(len(x) + 2, dtype=np.int32)  # the rank, from 1, of the pair at each place, itself counted from 1: the first and last are no place
     here = _where((x[:-1] != END) & (x[1:] != END))
     while len(here):
-        keys = _take(x, here).astype(np.uint64) << np.uint64(32) | _take(x, nxt(here))
-        place, rank, n = _frequent(keys, least)
+        place, rank, n = _frequent(pairs_at(here), least)
         if not len(n):
             break
-        here, own = _take(here, place), rank + 1
-        ranks[here + 1] = own
-        wins = _where(own >= _take(ranks, prev(here) + 1))
-        at = _take(here, wins)
-        wins = _take(wins, _where(_take(own, wins) >= _take(ranks, nxt(at) + 1)))
-        ranks[here + 1] = 0
+        here, own, wins = _take(here, place), rank + 1, []
+        for part in _parts(len(here)):
+            ranks[here[part] + 1] = own[part]
+        for part in _parts(len(here)):
+            h, o = here[part], own[part]
+            wins.append(_where((o >= _take(ranks, prev(h) + 1)) & (o >= _take(ranks, nxt(h) + 1))) + part.start)
+        ranks[:] = 0
+        wins = np.concatenate(wins)
         at = _take(here, wins)
         wins = _take(wins, _apart(at, nxt(at)))
         held = np.bincount(_take(rank, wins), minlength=len(n))
@@ -331,7 +351,7 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
         at, won = _take(here, wins), _take(rank, wins)
         number = np.cumsum(taken) - 1
         pairs = np.empty(int(taken.sum()), dtype=np.uint64)
-        pairs[number[won]] = _take(_take(keys, place), wins)
+        pairs[number[won]] = pairs_at(at)
         x[at] = (BASE + n_rules + number)[won].astype(np.uint32)
         n_rules += len(pairs)
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(END)], axis=1).astype(np.uint32))
@@ -495,6 +515,7 @@ def write(docs: DataFrame, tokenizer_path: str, path: str, id_col: str = "doc_id
             inside = np.ones(len(symbols), dtype=bool)
             inside[ends] = False
             symbols[inside], symbols[ends] = ids, END
+            del ids, inside
             row = [rows["part"][:1], [number], [rows["doc_id"].to_pylist()], [len(symbols)], [pack(symbols, counts + 1)]]
             yield pa.RecordBatch.from_arrays([pa.array(c.to_pylist() if isinstance(c, pa.ChunkedArray) else c, type=t) for c, t in zip(row, arrow.types, strict=True)], schema=arrow)
 
