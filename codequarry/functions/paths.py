@@ -32,7 +32,7 @@ def extension(path: Column) -> Column:
 
 def candidates(specifier: Column, from_path: Column) -> Column:
     """Paths that a relative or absolute specifier can mean, in order; an empty array for a package."""
-    base = F.when(specifier.startswith("/"), normalise(specifier)).otherwise(normalise(F.concat_ws("/", directory(from_path), specifier)))
+    base = F.when(specifier.startswith("/"), normalise(specifier)).otherwise(normalise(F.concat_ws("/", F.nullif(directory(from_path), F.lit("")), specifier)))
     end = extension(base)
     stem = lambda n: F.substring(base, F.lit(1), F.length(base) - n)
     bare = F.array(*[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS])

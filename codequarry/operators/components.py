@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from codequarry.sources.shared import materialise, remove
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def state(rows: DataFrame) -> tuple:
+    """Count and checksum of distinct rows: all that the driver sees of a round."""
+    return tuple(rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).first())
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,27 +26,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """node, label: the least node of its component, for every node that has an edge. edges: u, v of one orderable type.
 
     Each round is one large star and one small star; both keep components, and the edges end as one star a component. The
-    rounds needed grow with the logarithm of the longest path. The driver sees one count and one checksum a round. Each
+    rounds needed grow with the logarithm of the longest path, and go on until the edges no longer change. The driver sees one count and one checksum a round. Each
     round's edges are written to the shared folder and the ones before them removed. Self-loops, repeated edges and edges with
     a null end have no effect.
     """
     kind = edges.schema["u"].dataType
     now = materialise(edges.where("u <> v").select(F.col("u").cast(kind), F.col("v").cast(kind)).distinct(), "stars")
-    state = _state(now)
-    for _ in range(most_rounds):
-        if not state[0]:
-            break
+    before, settled = state(now), False
+    while before[0] and not settled:
         then = materialise(_small_star(_large_star(now)).distinct(), "stars")
-        after = _state(then)
+        after = state(then)
         remove(now)
-        now = then
-        if after == state:
-            break
-        state = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        now, before, settled = then, after, after == before
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).union(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

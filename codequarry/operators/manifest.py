@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from codequarry.functions import code as C
 
 
-def classify(files: DataFrame) -> DataFrame:
-    """path, size, hash, language, is_test, test_framework, is_binary, analyzable of files outside the directories left out. files: path, content (binary)."""
+def classify(files: DataFrame, *also: str) -> DataFrame:
+    """path, size, hash, language, is_test, test_framework, is_binary, analyzable of files outside the directories left out, and their columns `also`. files: path, content (binary)."""
     kept = files.where(~C.left_out(F.col("path")))
     text = F.decode("content", "UTF-8")
     language = C.language(F.col("path"))
@@ -22,6 +22,7 @@ def classify(files: DataFrame) -> DataFrame:
         C.test_framework(text).alias("test_framework"),
         C.is_binary(F.col("content")).alias("is_binary"),
         (~C.is_binary(F.col("content")) & (language != "unknown")).alias("analyzable"),
+        *also,
     )
 
 

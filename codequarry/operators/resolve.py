@@ -20,13 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import paths as P
+from codequarry.operators.components import state
 from codequarry.sources.shared import materialise, remove
 
 #: Kinds that a call can resolve to; the name and last line of a file's module scope.
 CALLABLE = ("function", "method", "const")
 MODULE, LAST_LINE = "__module__", 999_999
-#: Re-export chains longer than this are an error.
-MOST_ROUNDS = 32
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -62,7 +61,9 @@ class Resolver:
     def export_map(self) -> DataFrame:
         """file_path, name, symbol_id: what each file exports, through chains of re-exports, as a fixpoint.
 
-        Later statements replace earlier ones; `export *` gives all but default and replaces nothing. Cycles end, since pairs of file and name are finite.
+        Later statements replace earlier ones; `export *` gives all but default and replaces nothing. Chains may be of any length: rounds go on until the map no longer
+        changes. Where files re-export a name from one another in a cycle, their symbols could change places for ever; from the first map that
+        comes again, each pair of file and name keeps its symbol, and only new pairs are added, of which there are finitely many.
         """
         f = self.facts
         local_name = F.coalesce("source_name", "symbol_name")
@@ -77,17 +78,20 @@ class Resolver:
         passed = passed.join(self.specifiers(), ["file_path", "specifier"])
         passed = materialise(passed.select("file_path", "target", "symbol_name", "source_name", "at"), "re-exports")
         now = materialise(self._settled(own), "export-map")
-        for _ in range(MOST_ROUNDS):
+        seen, kept = [state(now)], False
+        while True:
             source = now.select(F.col("file_path").alias("target"), F.col("name").alias("source_name"), "symbol_id")
             named = passed.where("symbol_name <> '*'").join(source, ["target", "source_name"]).select("file_path", F.col("symbol_name").alias("name"), "symbol_id", F.lit(0).alias("star"), (-F.col("at")).alias("rank"))
             stars = passed.where("symbol_name = '*'").drop("source_name").join(source.where("source_name <> 'default'"), "target").select("file_path", F.col("source_name").alias("name"), "symbol_id", F.lit(1).alias("star"), F.col("at").alias("rank"))
-            then = materialise(self._settled(own.union(named).union(stars)), "export-map")
-            same = then.exceptAll(now).isEmpty() and now.exceptAll(then).isEmpty()
+            offered = self._settled(own.union(named).union(stars))
+            then = materialise(now.union(offered.join(now, ["file_path", "name"], "left_anti")) if kept else offered, "export-map")
+            after = state(then)
             remove(now)
             now = then
-            if same:
+            if after == seen[-1]:
                 return now
-        raise RuntimeError(f"exports did not settle in {MOST_ROUNDS} rounds")
+            kept = kept or after in seen
+            seen.append(after)
 
     @staticmethod
     def _settled(offers: DataFrame) -> DataFrame:

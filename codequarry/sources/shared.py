@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir, or a local folder where it is unset and all runs on this machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codequarry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,12 +32,34 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
+def fingerprint_of(spark: SparkSession, path: str) -> str:
+    """The files under a path: their names, sizes and times of change, as one digest."""
+    fs, where = _file_system(spark, path)
+    if not fs.exists(where):
+        return "none"
+    files, said = fs.listFiles(where, True), []
+    while files.hasNext():
+        f = files.next()
+        said.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return md5(repr(sorted(said)).encode()).hexdigest()
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing will read again."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, where = _file_system(spark, folder)
+        fs.delete(where, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
