@@ -9,7 +9,7 @@ from codequarry.operators import contribute as K
 from codequarry.operators import extract as X
 from codequarry.operators import graph as G
 from codequarry.plans.spec import Specs
-from codequarry.sources.graph_tables import GRAPH_SQL, Graph
+from codequarry.sources.graph_tables import GRAPH_SQL, Graph, table
 
 specs = Specs()
 
@@ -33,7 +33,7 @@ def contrib_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     fan = G.in_degree(g.calls())
     n = F.coalesce(F.col("n"), F.lit(0))
     parts = symbols.where("file_path IS NOT NULL").join(fan, "id", "left").select(F.col("id").alias("target_id"), "file_path", (n / (n + 5)).alias("impact"), (F.col("start_line") / F.lit(50.0)).alias("complexity"))
-    busy = g.table("events").where("event_type = 'purchase' AND event_id % 7 = 0").select(F.concat(F.lit("supplier:"), (F.col("user_id") % 5).cast("string")).alias("file_path"))
+    busy = table(spark, sf_dir, "events").where("event_type = 'purchase' AND event_id % 7 = 0").select(F.concat(F.lit("supplier:"), (F.col("user_id") % 5).cast("string")).alias("file_path"))
     return K.rank(found, parts, busy)
 
 
@@ -43,7 +43,7 @@ def contrib_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT issue_id, issue_id IN (SELECT issue_id FROM pulls WHERE issue_id IS NOT NULL) AS linked, file IN (SELECT file FROM pulls) AS overlapping FROM issues"
 )
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = Graph(spark, sf_dir).table("events")
+    events = table(spark, sf_dir, "events")
     file = lambda n: F.concat(F.lit("file:"), (F.col("user_id") % n).cast("string")).alias("file")
     issues = events.where("event_type = 'error'").select(F.col("event_id").alias("issue_id"), file(10))
     pulls = events.where("event_type = 'signup'").select(F.when(F.col("event_id") % 3 == 0, F.col("event_id") - 1).alias("issue_id"), file(4))

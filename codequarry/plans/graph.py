@@ -26,20 +26,20 @@ def _seed(g: Graph) -> DataFrame:
 @specs.query(_sql("SELECT DISTINCT s.id, s.name, s.kind, s.file_path, s.start_line FROM calls JOIN seed ON to_id = seed.id JOIN symbols AS s ON s.id = from_id", _SEED))
 def q2_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    return G.callers(g.symbols(), g.calls(), _seed(g))
+    return G.callers(g.symbols(), g.calls(), _seed(g)).orderBy("id")
 
 
 @specs.query(_sql("SELECT DISTINCT s.id, s.name, s.kind, s.file_path, s.start_line FROM calls JOIN seed ON from_id = seed.id JOIN symbols AS s ON s.id = to_id", _SEED))
 def q2_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
-    return G.callees(g.symbols(), g.calls(), _seed(g))
+    return G.callees(g.symbols(), g.calls("from_id"), _seed(g)).orderBy("id")
 
 
 @specs.query(_sql("SELECT DISTINCT n.id, n.name, n.file_path FROM tested_by JOIN seed ON from_id = seed.id JOIN nodes AS n ON n.id = to_id", _TESTED_SEED))
 def q3_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Graph(spark, sf_dir)
     tested = g.symbols().join(g.tested_by().select(F.col("from_id").alias("id")), "id", "left_semi")
-    return G.covering_tests(g.nodes(), g.tested_by(), G.seeds(tested, g.calls(), 1))
+    return G.covering_tests(g.nodes().where("node_type = 'Test'"), g.tested_by(), G.seeds(tested, g.calls(), 1)).orderBy("id")
 
 
 @specs.query(_sql("SELECT id FROM symbols WHERE id IN (SELECT from_id FROM tested_by)"))
@@ -55,7 +55,7 @@ def _impact_sql(depth: int) -> str:
 
 def _impact(spark: SparkSession, sf_dir: str, depth: int) -> DataFrame:
     g = Graph(spark, sf_dir)
-    return V.reachable(V.backward(g.calls()), _seed(g), depth)
+    return V.reachable(V.backward(g.calls()), _seed(g), depth).orderBy("id", "depth")
 
 
 @specs.query(_impact_sql(1))
@@ -111,17 +111,17 @@ def _neighbourhood(spark: SparkSession, sf_dir: str, radius: int) -> DataFrame:
 
 @specs.query(_near_sql(1))
 def q9_neigh_r1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbourhood(spark, sf_dir, 1)
+    return _neighbourhood(spark, sf_dir, 1).orderBy("id", "depth")
 
 
 @specs.query(_near_sql(2))
 def q9_neigh_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbourhood(spark, sf_dir, 2)
+    return _neighbourhood(spark, sf_dir, 2).orderBy("id", "depth")
 
 
 @specs.query(_near_sql(3))
 def q9_neigh_r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _neighbourhood(spark, sf_dir, 3)
+    return _neighbourhood(spark, sf_dir, 3).orderBy("id", "depth")
 
 
 @specs.query(_sql("SELECT from_id, to_id, rel_type FROM relationships WHERE from_id IN (SELECT id FROM near) AND to_id IN (SELECT id FROM near)", _SEED, _BOTH, _near(2), recursive=True))

@@ -8,9 +8,18 @@ items; a file holds the symbols whose least supplier it is.
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from codequarry.sources.shared import exists, fingerprint_of, shared_path
+from codequarry.sources.sinks import write_graph
+
+#: Columns of the stored tables.
+NODES = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in {"id": "string", "node_type": "string", "name": "string", "kind": "string", "file_path": "string", "start_line": "integer", "end_line": "integer", "is_exported": "boolean", "is_test": "boolean"}.items()]})
+EDGES = StructType.fromJson({"type": "struct", "fields": [{"name": n, "type": t, "nullable": True, "metadata": {}} for n, t in {"from_id": "string", "to_id": "string", "rel_type": "string", "call_site_line": "integer"}.items()]})
 
 #: The kind of symbol that stands for each type of part.
 KINDS = {"STANDARD": "function", "MEDIUM": "function", "ECONOMY": "method", "PROMO": "class", "LARGE": "const", "SMALL": "interface"}
@@ -24,8 +33,8 @@ def _id(prefix: str, key: str) -> Column:
     return F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string"))
 
 
-class Graph:
-    """Lazily read tables of one scale; every method returns a DataFrame."""
+class Bound:
+    """The graph of the tables of one scale, derived from them; every method returns a DataFrame."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -97,6 +106,59 @@ class Graph:
         return reduce(DataFrame.unionByName, typed, self.calls().select("from_id", "to_id", F.lit("CALLS").alias("rel_type"), "call_site_line"))
 
 
+#: Where the graph of a scale is stored, by application, folder and what the folder's files are: it is loaded once and again only if they change.
+_stored: dict[tuple[str, str, str], str] = {}
+_NAMES = ("lineitem", "orders", "part", "supplier", "nation", "region")
+
+
+def load(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the stored graph of sf_dir, written if it isn't there yet."""
+    said = md5("".join(fingerprint_of(spark, f"{sf_dir}/{name}.parquet") for name in _NAMES).encode()).hexdigest()
+    key = (spark.sparkContext.applicationId, sf_dir, said)
+    if key not in _stored or not exists(spark, f"{_stored[key]}/relationships_from/_SUCCESS"):
+        bound, path = Bound(spark, sf_dir), shared_path(spark, "graph")
+        none = F.lit(None).cast("int").alias("call_site_line")
+        documented = bound.documented_by().select("from_id", "to_id", F.lit("DOCUMENTED_BY").alias("rel_type"), none)
+        write_graph(bound.nodes(), bound.relationships().unionByName(documented), path)
+        _stored[key] = path
+    return _stored[key]
+
+
+class Graph:
+    """The stored graph of one scale; every method returns a DataFrame that reads only the folders of its types."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.path = spark, load(spark, sf_dir)
+
+    def nodes(self) -> DataFrame:
+        """id, node_type, name, kind, file_path, start_line, end_line, is_exported, is_test."""
+        return self.spark.read.schema(NODES).parquet(f"{self.path}/nodes").select(*NODES.fieldNames())
+
+    def symbols(self) -> DataFrame:
+        return self.nodes().where("node_type = 'Symbol'").drop("node_type", "is_test")
+
+    def edges(self, *types: str, by: str = "to_id") -> DataFrame:
+        """from_id, to_id, rel_type, call_site_line of some types of relationships, in ranges of the end that lookups name."""
+        folder = "relationships_from" if by == "from_id" else "relationships"
+        return self.spark.read.schema(EDGES).parquet(f"{self.path}/{folder}").where(F.col("rel_type").isin(*types)).select(*EDGES.fieldNames())
+
+    def calls(self, by: str = "to_id") -> DataFrame:
+        return self.edges("CALLS", by=by).drop("rel_type")
+
+    def tested_by(self, by: str = "from_id") -> DataFrame:
+        return self.edges("TESTED_BY", by=by).select("from_id", "to_id")
+
+    def documented_by(self) -> DataFrame:
+        return self.edges("DOCUMENTED_BY", by="from_id").select("from_id", "to_id")
+
+    def imports(self) -> DataFrame:
+        return self.edges("IMPORTS").select("from_id", "to_id")
+
+    def relationships(self) -> DataFrame:
+        """CONTAINS is a relationship of its own; neighbourhoods leave it out by default."""
+        return self.edges("CALLS", "TESTED_BY", "IMPORTS", "EXPORTS", "CONTAINS")
+
+
 #: The same graph in SQL, as common table expressions.
 GRAPH_SQL = """
 homes AS (SELECT l_partkey, min(l_suppkey) AS home FROM lineitem GROUP BY l_partkey),

@@ -4,18 +4,28 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_graph(nodes: DataFrame, relationships: DataFrame, path: str) -> None:
-    """Parquet under path, partitioned by type: a query for one type of node or edge reads only its folder. Rows are clustered by the end that lookups name."""
-    nodes.repartition("node_type", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("id").write.partitionBy("node_type").parquet(f"{path}/nodes")
-    relationships.repartition("rel_type", F.pmod(F.xxhash64("to_id"), F.lit(16))).sortWithinPartitions("to_id").write.partitionBy("rel_type").parquet(f"{path}/relationships")
+    """Parquet under path, partitioned by type: a query for one type of node or edge reads only its folder.
 
+    Rows stand in ranges of their id; of relationships there are two copies, one in ranges of each end, so that the least and greatest values that Parquet keeps of
+    each row group stand in for an index on that end. The number of ranges grows with the data; the other end splits the ranges of a hub.
+    """
 
-def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/relationships")
+    def clustered(rows: DataFrame, kind: str, *ends: str) -> DataFrameWriter:
+        return rows.repartitionByRange(kind, *ends).sortWithinPartitions(kind, *ends).write.partitionBy(kind)
+
+    clustered(nodes, "node_type", "id").parquet(f"{path}/nodes")
+    clustered(relationships, "rel_type", "to_id", "from_id").parquet(f"{path}/relationships")
+    clustered(relationships, "rel_type", "from_id", "to_id").parquet(f"{path}/relationships_from")
+
+
+def read_graph(spark: SparkSession, path: str, by: str = "to_id") -> tuple[DataFrame, DataFrame]:
+    """nodes and relationships; by: the end (to_id or from_id) that lookups name."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/relationships" + ("_from" if by == "from_id" else ""))
 
 
 def replace_snapshot(files: DataFrame, path: str) -> None:
@@ -28,6 +38,12 @@ def table_sizes(tables: dict[str, DataFrame]) -> dict[str, int]:
     return {name: df.count() for name, df in tables.items()}
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under path, those of all its tables."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def write_report(rows: DataFrame, path: str, columns: list[str] | None = None, most: int = 10_000) -> None:
     """A small result as JSON (path.json) and as a Markdown table (path.md), in the order of its rows; refuses more than `most` rows."""
     found = rows.limit(most + 1).collect()
