@@ -59,6 +59,8 @@ _NO_CALL = {"async", "if", "for", "while", "switch", "catch", "function", "retur
 _BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do"}
 _MODIFIERS = {"static", "async", "public", "private", "protected", "get", "set", "readonly", "override", "abstract", "declare", "accessor"}
 _TESTS = {"it", "test", "describe"}
+#: Files whose facts leave a task together.
+TOGETHER = 50
 
 
 @dataclass
@@ -400,9 +402,11 @@ def scan(files: DataFrame) -> DataFrame:
     rows = files.select("path", "text", C.language(F.col("path")).alias("language"), C.is_test(F.col("path")).alias("is_test"), C.test_framework(F.coalesce("text", F.lit(""))).alias("test_framework"))
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            facts = pd.DataFrame([_row(t) for t in part["text"]], columns=["symbols", "imports", "exports", "calls", "tests", "markers", "error"])
-            yield pd.concat([part.drop(columns="text").reset_index(drop=True), facts], axis=1)
+        for whole in parts:  # Spark bounds the bytes of a batch of texts; their facts leave for a few files at a time
+            for k in range(0, len(whole), TOGETHER):
+                part = whole.iloc[k : k + TOGETHER]
+                facts = pd.DataFrame([_row(t) for t in part["text"]], columns=["symbols", "imports", "exports", "calls", "tests", "markers", "error"])
+                yield pd.concat([part.drop(columns="text").reset_index(drop=True), facts], axis=1)
 
     return rows.mapInPandas(batches, _FACTS)
 

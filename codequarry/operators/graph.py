@@ -104,6 +104,12 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select("from_id", "to_id").distinct().groupBy(F.col("from_id").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("to_id")), ",").alias("targets"))
 
 
+def neighbours(edges: DataFrame, at: str = "from_id", other: str = "to_id") -> DataFrame:
+    """id, position (from 1), neighbour: the distinct other ends of each node's edges, in order, as rows. Unlike adjacency and dependents it holds no node's list in one value."""
+    pairs = edges.select(F.col(at).alias("id"), F.col(other).alias("neighbour")).distinct()
+    return pairs.select("id", F.row_number().over(Window.partitionBy("id").orderBy("neighbour")).alias("position"), "neighbour")
+
+
 def first_written(nodes: DataFrame) -> DataFrame:
     """One row an id: the one with the least ord."""
     return nodes.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_n = 1").drop("_n")

@@ -26,6 +26,8 @@ from codequarry.sources.shared import materialise, remove
 #: Kinds that a call can resolve to; the name and last line of a file's module scope.
 CALLABLE = ("function", "method", "const")
 MODULE, LAST_LINE = "__module__", 999_999
+#: Lines of a bucket in joins of lines with the scopes around them.
+BUCKET = 256
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -33,6 +35,16 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def inside(points: DataFrame, scopes: DataFrame) -> DataFrame:
+    """points (file_path, line) with the scopes (file_path, start_line, end_line) of their file that hold their line.
+
+    Scopes stand in every bucket of BUCKET lines that they reach, and points meet only those of their bucket: a file with many of both makes no product of them.
+    """
+    buckets = F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET))).alias("_bucket")
+    spread = scopes.where("end_line >= start_line").select("*", buckets)
+    return points.withColumn("_bucket", F.floor(F.col("line") / BUCKET)).join(spread, ["file_path", "_bucket"]).where("line BETWEEN start_line AND end_line").drop("_bucket")
+
+
 @dataclass(frozen=True)
 class Facts:
     files: DataFrame
@@ -124,10 +136,10 @@ class Resolver:
     def _methods(self) -> DataFrame:
         """file_path, class_name, class_ord, method, symbol_id: the first method of a name inside each class."""
         s = self.facts.symbols
-        classes = s.where("kind = 'class'").select("file_path", F.col("symbol_id").alias("class_id"), F.col("name").alias("class_name"), F.col("ord").alias("class_ord"), F.col("start_line").alias("c_from"), F.col("end_line").alias("c_to"))
-        methods = s.where("kind = 'method'").select("file_path", F.col("name").alias("method"), "symbol_id", "ord", "start_line", "end_line")
-        inside = classes.join(methods, "file_path").where("start_line >= c_from AND end_line <= c_to")
-        return first_by(inside, ["file_path", "class_id", "method"], F.col("ord")).select("file_path", "class_name", "class_ord", "method", "symbol_id")
+        classes = s.where("kind = 'class'").select("file_path", F.col("symbol_id").alias("class_id"), F.col("name").alias("class_name"), F.col("ord").alias("class_ord"), "start_line", "end_line")
+        methods = s.where("kind = 'method'").select("file_path", F.col("name").alias("method"), "symbol_id", "ord", F.col("start_line").alias("line"), F.col("end_line").alias("m_to"))
+        within = inside(methods, classes).where("m_to <= end_line")
+        return first_by(within, ["file_path", "class_id", "method"], F.col("ord")).select("file_path", "class_name", "class_ord", "method", "symbol_id")
 
     @cached_property
     def calls(self) -> DataFrame:
@@ -161,7 +173,7 @@ class Resolver:
         resolved = plain.select(*key, "called_name", "call_type", "line", category.alias("category"), callee.alias("callee_id"), trusted.alias("confidence"))
 
         scopes = f.symbols.select("file_path", F.col("symbol_id").alias("caller_id"), "start_line", "end_line", F.col("ord").alias("s_ord"))
-        around = f.calls.select("file_path", "ord", "line").join(scopes, "file_path").where("line BETWEEN start_line AND end_line")
+        around = inside(f.calls.select("file_path", "ord", "line"), scopes)
         around = first_by(around, key, F.desc("start_line"), F.desc("s_ord")).select(*key, "caller_id")
         module = F.concat("file_path", F.lit(f":{MODULE}:1"))
         named = resolved.join(around, key, "left").join(self._symbols("callee").drop("callee_kind"), "callee_id", "left")
@@ -179,7 +191,7 @@ class Resolver:
         outside = lambda df, column: df.join(f.files.where("is_test").select(F.col("path").alias(column)), column, "left_anti")
         made = self.calls.where("callee_id IS NOT NULL").join(test_files, "file_path", "left_semi")
         tests = f.tests.where("start_line IS NOT NULL AND end_line IS NOT NULL").select("file_path", "test_id", "start_line", "end_line", F.col("ord").alias("t_ord"))
-        around = first_by(made.select("file_path", "ord", "line").join(tests, "file_path").where("line BETWEEN start_line AND end_line"), ["file_path", "ord"], F.desc("start_line"), F.desc("t_ord")).select("file_path", "ord", "test_id")
+        around = first_by(inside(made.select("file_path", "ord", "line"), tests), ["file_path", "ord"], F.desc("start_line"), F.desc("t_ord")).select("file_path", "ord", "test_id")
         whole = F.concat("file_path", F.lit(":file"))
         direct = outside(made, "callee_file").join(around, ["file_path", "ord"], "left").select(F.col("callee_id").alias("symbol_id"), F.coalesce("test_id", whole).alias("test_id"), F.lit("direct").alias("coverage_type"), "confidence")
         seen = made.select("file_path", F.col("callee_id").alias("caller_id")).distinct()

@@ -210,6 +210,16 @@ def adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.adjacency(Graph(spark, sf_dir).calls())
 
 
+@specs.query(_sql("SELECT from_id AS id, CAST(row_number() OVER (PARTITION BY from_id ORDER BY to_id) AS INTEGER) AS position, to_id AS neighbour FROM (SELECT DISTINCT from_id, to_id FROM calls)"))
+def callees_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbours(Graph(spark, sf_dir).calls("from_id"))
+
+
+@specs.query(_sql("SELECT to_id AS id, CAST(row_number() OVER (PARTITION BY to_id ORDER BY from_id) AS INTEGER) AS position, from_id AS neighbour FROM (SELECT DISTINCT from_id, to_id FROM imports)"))
+def importers_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.neighbours(Graph(spark, sf_dir).imports(), "to_id", "from_id")
+
+
 @specs.query(_sql("SELECT rel_type, count(*) AS n FROM relationships GROUP BY rel_type"))
 def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph(spark, sf_dir).relationships().groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))

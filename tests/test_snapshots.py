@@ -83,3 +83,14 @@ def test_files_at_the_root(spark):
     exports = [("a.ts", "x", None), ("b.ts", "x", "./a"), ("s/c.ts", "x", "../b")]
     got = {(r["file_path"], r["symbol_id"]) for r in resolver(spark, exports, [("a.ts", "x")]).export_map.collect()}
     assert got == {("a.ts", "a.ts:x:1"), ("b.ts", "a.ts:x:1"), ("s/c.ts", "a.ts:x:1")}
+
+
+def test_a_file_with_many_calls_and_scopes_makes_no_product(spark):
+    """Nested and neighbouring scopes, some longer than a bucket: each line's scopes, by trying all."""
+    from codequarry.operators.resolve import BUCKET, inside
+
+    scopes = [("f.ts", k, k + n, f"{k}+{n}") for k in range(1, 2000, 37) for n in (0, 3, 40, 5 * BUCKET)] + [("f.ts", 9, 2, "none"), ("g.ts", 1, 99, "g")]
+    lines = [("f.ts", n) for n in range(0, 4000, 13)] + [("h.ts", 5), ("f.ts", None)]
+    got = inside(spark.createDataFrame(lines, "file_path string, line int"), spark.createDataFrame(scopes, "file_path string, start_line int, end_line int, name string"))
+    want = sorted((f, n, name) for f, n in lines for g, a, b, name in scopes if f == g and n is not None and a <= n <= b)
+    assert sorted(tuple(r) for r in got.select("file_path", "line", "name").collect()) == want
