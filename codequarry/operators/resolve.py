@@ -14,7 +14,7 @@ Every lookup that means "the first in the source" is a row_number over ord. Look
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +181,17 @@ class Resolver:
         confidence = F.when(F.col("callee_id").isNotNull(), F.col("confidence"))
         return named.select(*key, "called_name", "call_type", "line", "category", F.coalesce("caller_id", module).alias("caller_id"), "callee_id", "callee_file", confidence.alias("confidence"), error.alias("error"))
 
+    def counters(self) -> DataFrame:
+        """counter, n: calls by category (total, resolved), by confidence and across files; imports by status; exports that are local and re-exports."""
+        calls = self.calls.withColumn("resolved", F.col("callee_id").isNotNull())
+        named = lambda *parts: F.concat_ws(".", *[F.lit(x) if i != 1 else F.col(x) for i, x in enumerate(parts)])
+        every = [
+            calls.select(F.explode(F.array(named("calls", "category", "total"), F.when(F.col("resolved"), named("calls", "category", "resolved")), F.when(F.col("resolved"), named("calls", "confidence")), F.when(F.col("callee_file") != F.col("file_path"), F.lit("calls.cross_file")))).alias("counter")),
+            self.import_edges().select(named("imports", "status").alias("counter")),
+            self.facts.exports.select(F.when(F.col("source_specifier").isNull(), F.lit("exports.local")).otherwise(F.lit("exports.re_exported")).alias("counter")),
+        ]
+        return reduce(DataFrame.union, every).where("counter IS NOT NULL").groupBy("counter").agg(F.count(F.lit(1)).alias("n"))
+
     def call_edges(self) -> DataFrame:
         return self.calls.where("callee_id IS NOT NULL").select("caller_id", "callee_id", "call_type", "confidence", "line")
 
