@@ -383,39 +383,56 @@ def compress(ids: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarra
     return _take(x, _where(alive)), np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint32)
 
 
+def _steps(rules: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rules whose symbols are ids and rules before the range: about one a round."""
+    latest = np.where((rules >= BASE) & (rules != END), rules.astype(np.int64) - BASE, -1).max(axis=1, initial=-1)
+    start = 0
+    while start < len(rules):
+        later = _where(latest[start:] >= start)
+        end = start + int(later[0]) if len(later) else len(rules)
+        if end == start:
+            raise ValueError("a rule stands before its symbols")
+        yield start, end
+        start = end
+
+
 def expansion_lengths(rules: np.ndarray) -> np.ndarray:
     """Ids that each rule expands to; a rule's symbols come before it."""
     n = np.ones(len(rules), dtype=np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        n[r] = (n[a - BASE] if BASE <= a < END else 1) + (n[b - BASE] if BASE <= b < END else 1)
+    for start, end in _steps(rules):
+        n[start:end] = _sizes(rules[start:end].ravel(), n).reshape(-1, 2).sum(axis=1)
     return n
 
 
+def _spelled(symbols: np.ndarray, table: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The ids of symbols; table holds those of all rules one after the other, bounds where each rule's begin (with the end of the last)."""
+    at = _where((symbols >= BASE) & (symbols != END))
+    which = symbols[at] - np.uint32(BASE)
+    size = np.ones(len(symbols), dtype=np.int64)
+    size[at] = (bounds[1:] - bounds[:-1])[which]
+    # An id stands for itself, after the table.
+    source = np.arange(len(table), len(table) + len(symbols))
+    source[at] = bounds[:-1][which]
+    upto = np.cumsum(size)
+    place = np.repeat(source - (upto - size), size)
+    place += np.arange(len(place))
+    return _take(np.concatenate([table, symbols]), place) if len(place) else symbols
+
+
 def _expansions(rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all rules one after the other, and where each rule's begin (with the end of the last)."""
-    found: list[list[int]] = []
-    for a, b in rules.tolist():
-        found.append((found[a - BASE] if BASE <= a < END else [a]) + (found[b - BASE] if BASE <= b < END else [b]))
-    return np.array([i for x in found for i in x], dtype=np.uint32), np.cumsum([0, *map(len, found)])
+    """table and bounds, as _spelled has them."""
+    bounds = np.concatenate([[0], np.cumsum(expansion_lengths(rules))])
+    table = np.empty(int(bounds[-1]), dtype=np.uint32)
+    for start, end in _steps(rules):
+        table[bounds[start] : bounds[end]] = _spelled(rules[start:end].ravel(), table, bounds[: start + 1])
+    return table, bounds
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, expansions: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
     """The ids of symbols; END becomes the end id. expansions: of the rules, where they are known."""
-    is_rule = (symbols >= BASE) & (symbols != END)
-    at = np.nonzero(is_rule)[0]
-    if not len(at):
-        return np.where(symbols == END, END_ID, symbols).astype("<u4")
-    table, bounds = expansions or _expansions(rules)
-    which = symbols[at] - BASE
-    size = np.ones(len(symbols), dtype=np.int64)
-    size[at] = (bounds[1:] - bounds[:-1])[which]
-    out = np.repeat(symbols, size)
-    n = size[at]
-    to = np.cumsum(size)[at] - n
-    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(to, n) + step] = table[np.repeat(bounds[:-1][which], n) + step]
-    out[out == END] = END_ID
-    return out.astype("<u4")
+    ids = _spelled(symbols, *(expansions or _expansions(rules)))
+    ids[ids == END] = END_ID
+    return ids.astype("<u4")
 
 
 def pack(ids: np.ndarray, n_ids: np.ndarray) -> bytes:
