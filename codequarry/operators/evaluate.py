@@ -6,19 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def at_k(results: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+def at_k(results: DataFrame, gold: DataFrame, k: int, within: bool = False) -> DataFrame:
     """query_id, hits, p, r for every query of gold. results: query_id, rank, file_path; gold: query_id, file_path, distinct.
 
-    hits: gold files among the first k results. p: hits over the results seen, null without results. r: hits over gold files.
+    hits: gold files among the first k results; within: that stand anywhere in the path of one of them (a query's first k results meet only its own gold). p: hits
+    over the results seen, null without results. r: hits over gold files.
     """
     top = results.where(F.col("rank") <= k)
     seen = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("seen"))
-    hit = gold.join(top.select("query_id", "file_path").distinct(), ["query_id", "file_path"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    shown = top.select("query_id", "file_path").distinct()
+    if within:
+        parts = gold.join(shown.withColumnRenamed("file_path", "shown"), "query_id").where(F.col("shown").contains(F.col("file_path"))).select("query_id", "file_path").distinct()
+    else:
+        parts = gold.join(shown, ["query_id", "file_path"])
+    hit = parts.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     all_gold = gold.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_gold"))
     joined = all_gold.join(seen, "query_id", "left").join(hit, "query_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     return joined.select("query_id", "hits", F.when(F.col("seen") > 0, F.col("hits") / F.col("seen")).alias("p"), (F.col("hits") / F.col("n_gold")).alias("r"))
 
 
+def mean_at(results: DataFrame, gold: DataFrame, types: DataFrame) -> DataFrame:
+    """type, queries, p1, p5, r10: means over the queries of each type. types: query_id, type."""
+    p1, p5, r10 = at_k(results, gold, 1), at_k(results, gold, 5), at_k(results, gold, 10)
+    each = p1.select("query_id", F.col("p").alias("p1")).join(p5.select("query_id", F.col("p").alias("p5")), "query_id").join(r10.select("query_id", F.col("r").alias("r10")), "query_id")
+    return each.join(types, "query_id").groupBy("type").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(m), 6).alias(m) for m in ("p1", "p5", "r10")])
+
+
 def wins(first: DataFrame, second: DataFrame) -> DataFrame:
     """first, second, ties: queries won by p, then by r; inputs: query_id, p, r. A null p loses to any."""
     joined = first.select("query_id", F.coalesce("p", F.lit(-1.0)).alias("p1"), F.col("r").alias("r1")).join(second.select("query_id", F.coalesce("p", F.lit(-1.0)).alias("p2"), F.col("r").alias("r2")), "query_id")

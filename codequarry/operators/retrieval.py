@@ -116,3 +116,10 @@ def hybrid(keyword: DataFrame, ngram: DataFrame, k: int = 10, keyword_weight: fl
     both = scaled(keyword, keyword_weight).unionByName(scaled(ngram, 1 - keyword_weight))
     scored = both.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return _best(scored, k, "hybrid")
+
+
+def reranked(found: DataFrame, metadata: DataFrame, keep: Column, k: int = 10, recency_weight: float = 0.2) -> DataFrame:
+    """query_id, rank, chunk_id, score: the results whose file the predicate keeps, by their score and their file's recency. metadata: file_path, recency (0 to 1) and what keep reads."""
+    own = found.withColumn("file_path", F.regexp_replace("chunk_id", ":[0-9]+$", "")).join(metadata.where(keep), "file_path")
+    scored = own.select("query_id", "chunk_id", F.round(F.col("score") * (1 - recency_weight) + F.col("recency") * recency_weight, 6).alias("score"))
+    return _best(scored, k, "reranked").drop("method")

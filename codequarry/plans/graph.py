@@ -265,6 +265,30 @@ def loader_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one
 
 
+_CHECKS = {"n_symbols": (300, None), "n_files": (50, None), "n_calls": (200, None), "n_orphan_ends": (None, 0), "n_placeholders": (None, 100)}
+_ENDS = "(SELECT count(*) FROM (SELECT from_id AS id FROM relationships UNION SELECT to_id FROM relationships) WHERE id NOT IN (SELECT id FROM nodes))"
+
+
+@specs.query(_sql(
+    "SELECT name, n, n >= least AND n <= most AS ok FROM (SELECT 'n_symbols' AS name, (SELECT count(*) FROM symbols) AS n, 300 AS least, 1e18 AS most"
+    " UNION ALL SELECT 'n_files', (SELECT count(*) FROM nodes WHERE node_type = 'File'), 50, 1e18 UNION ALL SELECT 'n_calls', (SELECT count(*) FROM calls), 200, 1e18"
+    f" UNION ALL SELECT 'n_orphan_ends', {_ENDS}, 0, 0 UNION ALL SELECT 'n_placeholders', {_ENDS}, 0, 100)"
+))
+def self_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, n, ok: whether each count is within its bounds. The driver tables name no node that they lack, so ends without a node and placeholders are the same."""
+    found = loader_invariants(spark, sf_dir).withColumn("n_placeholders", F.col("n_orphan_ends"))
+    rows = F.array(*[F.struct(F.lit(name).alias("name"), F.col(name).alias("n"), F.lit(least or 0).cast("long").alias("least"), F.lit((1 << 62) if most is None else most).alias("most")) for name, (least, most) in _CHECKS.items()])
+    return found.select(F.inline(rows)).select("name", "n", F.col("n").between(F.col("least"), F.col("most")).alias("ok"))
+
+
+@specs.query(_sql("SELECT id, kind, is_exported, CAST(start_line AS INTEGER) AS start_line FROM symbols"))
+def symbol_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols' properties written as JSON and read back."""
+    props = F.to_json(F.struct("kind", "is_exported", "start_line"))
+    read = Graph(spark, sf_dir).symbols().select("id", F.from_json(props, "kind string, is_exported boolean, start_line int").alias("p"))
+    return read.select("id", "p.kind", "p.is_exported", "p.start_line")
+
+
 @specs.query(_sql("SELECT file_path AS id, count(*) AS n_symbols, count(*) FILTER (WHERE is_exported) AS n_exported, count(*) FILTER (WHERE kind = 'function') AS n_function, count(*) FILTER (WHERE kind = 'method') AS n_method, count(*) FILTER (WHERE kind = 'class') AS n_class FROM symbols GROUP BY file_path"))
 def symbol_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = [F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("function", "method", "class")]

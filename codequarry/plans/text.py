@@ -174,6 +174,40 @@ def mean_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("queries"), F.round(F.avg("p"), 6).alias("p5"), F.round(F.avg("r"), 6).alias("r5"))
 
 
+_TYPES = "types AS (SELECT query_id, CASE WHEN length(text) >= 150 THEN 'long' ELSE 'short' END AS type FROM queries)"
+
+
+@specs.query(
+    _sql(
+        "SELECT type, count(*) AS queries, round(avg(a.p), 6) AS p1, round(avg(b.p), 6) AS p5, round(avg(c.r), 6) AS r10 FROM k1 AS a JOIN k5 AS b USING (query_id) JOIN k10 AS c USING (query_id) JOIN types USING (query_id) GROUP BY type",
+        _CHUNKS, _QUERIES, _KEYWORD, _GOLD, _metrics("k1", "kw", 1), _metrics("k5", "kw", 5), _metrics("k10", "kw", 10), _TYPES,
+    )
+)
+def metrics_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    types = queries(spark, sf_dir).select("query_id", F.when(F.length("text") >= 150, "long").otherwise("short").alias("type"))
+    return E.mean_at(_files(kw_search(spark, sf_dir)), gold(spark, sf_dir), types)
+
+
+@specs.query(_sql("SELECT query_id, hits, round(p, 6) AS p, round(r, 6) AS r FROM w5", _CHUNKS, _QUERIES, _KEYWORD, _GOLD, _metrics("w5", "kw", 5).replace("AND t.file_path = g.file_path", "AND contains(t.file_path, g.file_path)")))
+def pk_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = E.at_k(_files(kw_search(spark, sf_dir)), gold(spark, sf_dir), 5, within=True)
+    return found.select("query_id", "hits", F.round("p", 6).alias("p"), F.round("r", 6).alias("r"))
+
+
+@specs.query(
+    _sql(
+        "SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM kept",
+        _CHUNKS, _QUERIES, _KEYWORD, "meta AS (SELECT 'doc' || doc_id AS file_path, lang, doc_id::DOUBLE / max(doc_id) OVER () AS recency FROM documents)",
+        "kept AS (SELECT query_id, chunk_id, round(score * 0.8::DOUBLE + recency * 0.2::DOUBLE, 6) AS score FROM kw JOIN meta ON file_path = regexp_replace(chunk_id, ':[0-9]+$', '') WHERE lang = 'en')",
+    )
+)
+def search_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    newest = docs.agg(F.max("doc_id").alias("newest"))
+    meta = docs.crossJoin(F.broadcast(newest)).select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_path"), "lang", (F.col("doc_id") / F.col("newest")).alias("recency"))  # newest is one row
+    return R.reranked(kw_search(spark, sf_dir), meta, F.col("lang") == "en")
+
+
 _WON = "coalesce(a.p, -1) > coalesce(b.p, -1) OR (coalesce(a.p, -1) = coalesce(b.p, -1) AND ar.r > br.r)"
 
 
