@@ -37,6 +37,48 @@ def contrib_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.rank(found, parts, busy)
 
 
+_CHECKED = f"""
+WITH {GRAPH_SQL}, found AS (
+  SELECT id, 'gap' AS source FROM symbols WHERE kind IN ('function', 'method', 'class') AND id NOT IN (SELECT from_id FROM tested_by)
+  UNION SELECT id, 'undocumented' FROM symbols WHERE is_exported AND id NOT IN (SELECT from_id FROM documented_by)),
+cand AS (SELECT id AS target_id, string_agg(source, ',' ORDER BY source) AS sources, count(*) AS n_evidence FROM found GROUP BY id),
+open_issues AS (SELECT DISTINCT 'supplier:' || (user_id % 10) AS file_path FROM events WHERE event_type = 'error'),
+pulls AS (SELECT DISTINCT 'supplier:' || (user_id % 4) AS file_path FROM events WHERE event_type = 'signup'),
+changed AS (SELECT DISTINCT 'supplier:' || (user_id % 5) AS file_path FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0),
+checked AS (
+  SELECT c.*, s.name, s.kind, s.file_path, s.end_line - s.start_line + 1 AS lines, round(1 + (s.end_line - s.start_line + 1) / 25.0::DOUBLE, 2) AS effort_hours, true AS has_it,
+         coalesce(s.file_path IN (SELECT file_path FROM open_issues), false) AS has_issue, coalesce(s.file_path IN (SELECT file_path FROM pulls), false) AS has_active_pull,
+         coalesce(s.file_path IN (SELECT file_path FROM changed), false) AS recently_changed, coalesce(s.kind IN ('function', 'method'), false) AS fits_skills
+  FROM cand AS c JOIN symbols AS s ON s.id = c.target_id),
+judged AS (SELECT *, lines <= 200 AS bounded, effort_hours <= 4 AS fits_time, n_evidence > 0 AS has_evidence FROM checked),
+valid AS (SELECT *, has_evidence AND bounded AND fits_skills AND fits_time AND NOT has_active_pull AND NOT recently_changed AS valid FROM judged)
+"""
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = Graph(spark, sf_dir)
+    symbols = g.symbols().withColumn("language", F.lit("typescript"))
+    found = K.candidates({"gap": G.coverage_gaps(symbols, g.tested_by(), limit=None), "undocumented": G.undocumented(symbols, g.documented_by())})
+    events = table(spark, sf_dir, "events")
+    at = lambda rows, n: rows.select(F.concat(F.lit("supplier:"), (F.col("user_id") % n).cast("string")).alias("file_path"))
+    return K.validate(found, symbols, at(events.where("event_type = 'error'"), 10), at(events.where("event_type = 'signup'"), 4), at(events.where("event_type = 'purchase' AND event_id % 7 = 0"), 5))
+
+
+@specs.query(_CHECKED + "SELECT target_id, has_it AS exists, has_evidence, has_issue, has_active_pull, recently_changed, bounded, fits_skills, fits_time, valid FROM valid")
+def contrib_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checked(spark, sf_dir).select("target_id", *K.CHECKS, "valid")
+
+
+@specs.query(
+    _CHECKED + "SELECT target_id, CASE WHEN contains(sources, 'gap') THEN 'Test ' ELSE 'Document ' END || name AS title, CASE WHEN contains(sources, 'gap') THEN 'test' ELSE 'documentation' END AS contribution_type,"
+    " kind || ' ' || name || ' is named by: ' || sources AS problem, CASE WHEN lines <= 10 THEN 'easy' WHEN lines <= 50 THEN 'medium' ELSE 'hard' END AS difficulty, effort_hours,"
+    " concat_ws(',', 'typescript', kind) AS required_skills, concat_ws(',', file_path, target_id) AS relevant, sources AS evidence, CASE WHEN n_evidence >= 2 THEN 'high' ELSE 'medium' END AS confidence,"
+    " concat_ws(',', CASE WHEN has_issue THEN 'issue' END, CASE WHEN has_active_pull THEN 'pull request' END) AS related, valid FROM valid"
+)
+def contrib_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.described(_checked(spark, sf_dir))
+
+
 @specs.query(
     "WITH issues AS (SELECT event_id AS issue_id, 'file:' || (user_id % 10) AS file FROM events WHERE event_type = 'error'),"
     " pulls AS (SELECT CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS issue_id, 'file:' || (user_id % 4) AS file FROM events WHERE event_type = 'signup')"

@@ -28,6 +28,17 @@ def read_graph(spark: SparkSession, path: str, by: str = "to_id") -> tuple[DataF
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/relationships" + ("_from" if by == "from_id" else ""))
 
 
+def register_graph(spark: SparkSession, path: str, prefix: str = "graph_") -> list[str]:
+    """Name the stored tables in the catalog, with statistics of all columns, for queries in SQL and for the choice of joins."""
+    names = []
+    for folder in ("nodes", "relationships", "relationships_from"):
+        names.append(f"{prefix}{folder}")
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {names[-1]} USING parquet LOCATION '{path}/{folder}'")
+        spark.sql(f"MSCK REPAIR TABLE {names[-1]}")
+        spark.sql(f"ANALYZE TABLE {names[-1]} COMPUTE STATISTICS FOR ALL COLUMNS")
+    return names
+
+
 def replace_snapshot(files: DataFrame, path: str) -> None:
     """Write files (with snapshot_id) so that each snapshot in them replaces its earlier files and other snapshots stay."""
     files.write.option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").mode("overwrite").parquet(path)

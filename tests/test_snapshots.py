@@ -94,3 +94,34 @@ def test_a_file_with_many_calls_and_scopes_makes_no_product(spark):
     got = inside(spark.createDataFrame(lines, "file_path string, line int"), spark.createDataFrame(scopes, "file_path string, start_line int, end_line int, name string"))
     want = sorted((f, n, name) for f, n in lines for g, a, b, name in scopes if f == g and n is not None and a <= n <= b)
     assert sorted(tuple(r) for r in got.select("file_path", "line", "name").collect()) == want
+
+
+def test_stored_graph_in_the_catalog(spark, tmp_path):
+    from codequarry.sources import sinks
+
+    nodes = spark.createDataFrame([("a", "Symbol"), ("t", "Test")], "id string, node_type string")
+    rel = spark.createDataFrame([("a", "t", "TESTED_BY"), ("a", "a", "CALLS"), ("b", "a", "CALLS")], "from_id string, to_id string, rel_type string")
+    sinks.write_graph(nodes, rel, f"{tmp_path}/graph")
+    names = sinks.register_graph(spark, f"{tmp_path}/graph", "small_")
+    try:
+        for by, folder in (("to_id", "relationships"), ("from_id", "relationships_from")):
+            assert sinks.read_graph(spark, f"{tmp_path}/graph", by)[1].count() == 3 == spark.table(f"small_{folder}").count()
+        found = spark.sql("SELECT from_id FROM small_relationships WHERE rel_type = 'CALLS' AND to_id = :id ORDER BY from_id", args={"id": "a"})
+        assert [r[0] for r in found.collect()] == ["a", "b"]
+        said = {r["info_name"]: r["info_value"] for r in spark.sql("DESCRIBE EXTENDED small_relationships to_id").collect()}
+        assert said["distinct_count"] == "2" and sinks.stored_bytes(spark, f"{tmp_path}/graph") > 0
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_a_candidate_that_is_not_there(spark):
+    from codequarry.operators import contribute
+
+    found = spark.createDataFrame([("a", "gap", 1), ("gone", "gap,undocumented", 2)], "target_id string, sources string, n_evidence long")
+    symbols = spark.createDataFrame([("a", "a", "function", "src/f.ts", "typescript", 1, 20)], "id string, name string, kind string, file_path string, language string, start_line int, end_line int")
+    none = spark.createDataFrame([], "file_path string")
+    got = {r["target_id"]: r for r in contribute.validate(found, symbols, none, none, none, contribute.Profile(domains=("src/",))).collect()}
+    assert got["a"]["valid"] and not got["gone"]["valid"] and not got["gone"]["exists"] and not got["gone"]["fits_skills"]
+    shown = {r["target_id"]: r["confidence"] for r in contribute.described(contribute.validate(found, symbols, none, none, none)).collect()}
+    assert shown == {"a": "medium", "gone": "low"}
