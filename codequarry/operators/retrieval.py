@@ -46,7 +46,20 @@ def _best(scored: DataFrame, k: int, method: str) -> DataFrame:
     return scored.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score", F.lit(method).alias("method"))
 
 
-def _search(chunks: DataFrame, terms: Column, wanted: DataFrame, repeats: bool, k: int, method: str) -> DataFrame:
+def split(chunks: DataFrame, terms: Column) -> DataFrame:
+    """chunk_id, norm, terms of every chunk: what a search reads, and what is worth keeping between searches."""
+    return chunks.select("chunk_id", terms.alias("terms")).select("chunk_id", F.sqrt(F.size("terms")).alias("norm"), "terms")
+
+
+def split_tokens(chunks: DataFrame) -> DataFrame:
+    return split(chunks, T.tokens(F.col("text")))
+
+
+def split_ngrams(chunks: DataFrame) -> DataFrame:
+    return split(chunks, T.ngrams(F.col("text")))
+
+
+def _search(rows: DataFrame, wanted: DataFrame, repeats: bool, k: int, method: str) -> DataFrame:
     """The k best chunks of each query by the sum of weight * idf over a chunk's terms (with repeats, or each once), over the root of their count.
 
     wanted: query_id, term, weight. Document frequencies are counted for the queries' terms alone. Where those fit a broadcast, a chunk's terms meet
@@ -54,9 +67,8 @@ def _search(chunks: DataFrame, terms: Column, wanted: DataFrame, repeats: bool,
     """
     held = wanted.count() <= BROADCAST_TERMS
     side = F.broadcast if held else lambda df: df
-    rows = chunks.select("chunk_id", terms.alias("terms")).select("chunk_id", F.sqrt(F.size("terms")).alias("norm"), "terms")
     once = rows.select(F.explode(F.array_distinct("terms")).alias("term")).join(side(wanted.select("term").distinct()), "term", "left_semi")
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
     idf = frequencies(once).crossJoin(F.broadcast(n)).select("term", F.log(F.col("n") / F.col("df")).alias("idf")).where("idf > 0")
     asked = wanted.join(idf, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("gain"))
     each = rows.select("chunk_id", "norm", F.explode("terms" if repeats else F.array_distinct("terms")).alias("term"))
@@ -65,9 +77,13 @@ def _search(chunks: DataFrame, terms: Column, wanted: DataFrame, repeats: bool,
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Score: the sum of tf * idf over the query's tokens, repeats counting again, over the root of the chunk's tokens. A query without tokens has no result."""
+    """Score: the sum of tf * idf over the query's tokens, repeats counting again, over the root of the chunk's tokens. A query without tokens has no result.
+
+    chunks: chunks, or what split_tokens made of them.
+    """
+    rows = chunks if "terms" in chunks.columns else split_tokens(chunks)
     wanted = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
-    return _search(chunks, T.tokens(F.col("text")), wanted, True, k, "keyword")
+    return _search(rows, wanted, True, k, "keyword")
 
 
 def query_ngrams(text: Column) -> Column:
@@ -75,9 +91,10 @@ def query_ngrams(text: Column) -> Column:
 
 
 def ngram_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Score: the sum of idf over the query's distinct 3-grams that the chunk has, over the root of the chunk's 3-grams."""
+    """Score: the sum of idf over the query's distinct 3-grams that the chunk has, over the root of the chunk's 3-grams. chunks: chunks, or what split_ngrams made of them."""
+    rows = chunks if "terms" in chunks.columns else split_ngrams(chunks)
     wanted = queries.where(F.length(F.trim("text")) > 0).select("query_id", F.explode(query_ngrams(F.col("text"))).alias("term"), F.lit(1).alias("weight"))
-    return _search(chunks, T.ngrams(F.col("text")), wanted, False, k, "semantic")
+    return _search(rows, wanted, False, k, "semantic")
 
 
 def expansions(chunks: DataFrame, queries: DataFrame, most: int = EXPANSIONS) -> DataFrame:

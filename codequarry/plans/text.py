@@ -12,7 +12,7 @@ from codequarry.operators import manifest as M
 from codequarry.operators import retrieval as R
 from codequarry.plans.spec import Specs
 from codequarry.sources.graph_tables import table
-from codequarry.sources.shared import spread
+from codequarry.sources.shared import exists, fingerprint_of, materialise, spread
 
 specs = Specs()
 
@@ -92,6 +92,17 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.chunk(documents(spark, sf_dir))
 
 
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks' tokens, written once and again only if the documents change. Their 3-grams, several times the texts, aren't kept."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _kept or not all(exists(spark, f) for f in _kept[key].inputFiles()[:1]):
+        _kept[key] = materialise(R.split_tokens(_chunks(spark, sf_dir)), "chunk-tokens")
+    return _kept[key]
+
+
 def _files(found: DataFrame) -> DataFrame:
     return found.withColumn("file_path", F.regexp_replace("chunk_id", ":[0-9]+$", ""))
 
@@ -115,7 +126,7 @@ def ngram_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @specs.query(_sql("SELECT * FROM kw", _CHUNKS, _QUERIES, _KEYWORD))
 def kw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.keyword_search(_chunks(spark, sf_dir), queries(spark, sf_dir))
+    return R.keyword_search(_tokens(spark, sf_dir), queries(spark, sf_dir))
 
 
 @specs.query(_sql("SELECT * FROM sm", _CHUNKS, _QUERIES, _SEMANTIC))
@@ -157,8 +168,7 @@ mixed AS (SELECT query_id, chunk_id, round(sum(part), 6) AS score FROM parts GRO
 
 @specs.query(_sql("SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score, 'hybrid' AS method FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM mixed) WHERE rank <= 10", _CHUNKS, _QUERIES, _KEYWORD, _SEMANTIC, _HYBRID))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, q = _chunks(spark, sf_dir), queries(spark, sf_dir)
-    return R.hybrid(R.keyword_search(c, q), R.ngram_search(c, q))
+    return R.hybrid(kw_search(spark, sf_dir), sem_search(spark, sf_dir))
 
 
 @specs.query(_sql("SELECT a.query_id, round(a.p, 6) AS p1, round(b.p, 6) AS p5, round(c.r, 6) AS r10 FROM k1 AS a JOIN k5 AS b USING (query_id) JOIN k10 AS c USING (query_id)", _CHUNKS, _QUERIES, _KEYWORD, _GOLD, _metrics("k1", "kw", 1), _metrics("k5", "kw", 5), _metrics("k10", "kw", 10)))
