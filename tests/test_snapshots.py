@@ -125,3 +125,15 @@ def test_a_candidate_that_is_not_there(spark):
     assert got["a"]["valid"] and not got["gone"]["valid"] and not got["gone"]["exists"] and not got["gone"]["fits_skills"]
     shown = {r["target_id"]: r["confidence"] for r in contribute.described(contribute.validate(found, symbols, none, none, none)).collect()}
     assert shown == {"a": "medium", "gone": "low"}
+
+
+def test_a_changed_table_has_another_fingerprint(spark, tmp_path):
+    from codequarry.sources.shared import exists, fingerprint_of
+
+    path = f"{tmp_path}/t.parquet"
+    assert fingerprint_of(spark, path) == "none" and not exists(spark, path)
+    spark.range(10).write.parquet(path)
+    first = fingerprint_of(spark, path)
+    assert first == fingerprint_of(spark, path) and exists(spark, path)
+    spark.range(11).write.mode("append").parquet(path)
+    assert fingerprint_of(spark, path) != first
