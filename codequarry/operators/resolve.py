@@ -56,18 +56,26 @@ class Facts:
 
 
 class Resolver:
-    """Resolves one set of facts. Each property is a DataFrame; only the export map's fixpoint runs jobs of its own."""
+    """Resolves one set of facts. Each property is a DataFrame.
+
+    What several results read (targets of specifiers, the export map, calls) is written once, so that no plan holds another's joins and windows again:
+    the driver keeps the plan, code and stages of one step at a time.
+    """
 
     def __init__(self, facts: Facts) -> None:
         self.facts = facts
 
     def specifiers(self) -> DataFrame:
         """file_path, specifier, target: the first candidate path that is a file, for every distinct specifier that has one."""
+        return self._targets
+
+    @cached_property
+    def _targets(self) -> DataFrame:
         f = self.facts
         used = f.imports.select("file_path", "specifier").union(f.exports.where("source_specifier IS NOT NULL").select("file_path", "source_specifier")).distinct()
         tried = used.select("file_path", "specifier", F.posexplode(P.candidates(F.col("specifier"), F.col("file_path"))).alias("place", "target"))
         found = tried.join(f.files.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
-        return first_by(found, ["file_path", "specifier"], F.col("place")).select("file_path", "specifier", "target")
+        return materialise(first_by(found, ["file_path", "specifier"], F.col("place")).select("file_path", "specifier", "target"), "specifiers")
 
     @cached_property
     def export_map(self) -> DataFrame:
@@ -131,7 +139,7 @@ class Resolver:
         mapped = first_by(self.facts.imports.where("local IS NOT NULL"), ["file_path", "stmt", "local"], F.col("ord")).select("file_path", "specifier", "stmt", "local", F.when(F.col("is_default"), "default").otherwise(F.col("imported")).alias("name"))
         found = mapped.join(self.specifiers(), ["file_path", "specifier"]).join(self.export_map.withColumnRenamed("file_path", "target"), ["target", "name"])
         found = first_by(found, ["file_path", "local"], F.col("stmt"))
-        return found.join(self.facts.symbols.select("symbol_id", "kind"), "symbol_id").select("file_path", "local", "symbol_id", "kind")
+        return materialise(found.join(self.facts.symbols.select("symbol_id", "kind"), "symbol_id").select("file_path", "local", "symbol_id", "kind"), "bound")
 
     def _methods(self) -> DataFrame:
         """file_path, class_name, class_ord, method, symbol_id: the first method of a name inside each class."""
@@ -170,7 +178,7 @@ class Resolver:
         )
         callee = F.when(direct, by_name).when(method & F.col("member").isNotNull(), by_member)
         trusted = F.when(direct | ((F.col("base") != "this") & F.col("is_class").isNull()), "high").otherwise("medium")
-        resolved = plain.select(*key, "called_name", "call_type", "line", category.alias("category"), callee.alias("callee_id"), trusted.alias("confidence"))
+        resolved = materialise(plain.select(*key, "called_name", "call_type", "line", category.alias("category"), callee.alias("callee_id"), trusted.alias("confidence")), "resolved")
 
         scopes = f.symbols.select("file_path", F.col("symbol_id").alias("caller_id"), "start_line", "end_line", F.col("ord").alias("s_ord"))
         around = inside(f.calls.select("file_path", "ord", "line"), scopes)
@@ -179,7 +187,8 @@ class Resolver:
         named = resolved.join(around, key, "left").join(self._symbols("callee").drop("callee_kind"), "callee_id", "left")
         error = F.when(F.col("callee_id").isNull() & (F.col("call_type") != "dynamic"), F.when(method | F.col("called_name").contains("."), "ambiguous").otherwise("not_found"))
         confidence = F.when(F.col("callee_id").isNotNull(), F.col("confidence"))
-        return named.select(*key, "called_name", "call_type", "line", "category", F.coalesce("caller_id", module).alias("caller_id"), "callee_id", "callee_file", confidence.alias("confidence"), error.alias("error"))
+        found = named.select(*key, "called_name", "call_type", "line", "category", F.coalesce("caller_id", module).alias("caller_id"), "callee_id", "callee_file", confidence.alias("confidence"), error.alias("error"))
+        return materialise(found, "calls")
 
     def counters(self) -> DataFrame:
         """counter, n: calls by category (total, resolved), by confidence and across files; imports by status; exports that are local and re-exports."""

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from codequarry.operators import assemble, extract
+from codequarry.operators import assemble, extract, resolve
 from codequarry.schema import outside_domains
+from codequarry.sources.shared import materialise
 
 
 def test_tree_to_graph(spark, tmp_path):
@@ -37,3 +38,13 @@ def test_declarations_and_type_pass(spark):
     calls = spark.createDataFrame([("method", None)] * 7 + [("method", "x")] * 3 + [("builtin", None)] * 2, "category string, callee_id string")
     assert assemble.wants_type_pass(files, calls).first()["wanted"] and not assemble.wants_type_pass(files, calls.limit(0)).first()["wanted"]
     assert assemble.parse_errors(extract.scan(spark.createDataFrame([("a.ts", "const x = 1")], "path string, text string"))).count() == 0
+
+
+def test_relationships_resolve_calls_once(spark):
+    files = spark.createDataFrame([("a.ts", "export function f() {\n  return 1;\n}\n"), ("a.test.ts", "import { f } from './a';\ntest('f', () => {\n  f();\n});\n")], "path string, text string")
+    scanned = materialise(extract.scan(files), "scanned")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    r = resolve.Resolver(extract.facts(scanned))
+    assert {tuple(x)[:3] for x in r.relationships().collect()} >= {("a.test.ts:__module__:1", "a.ts:f:1", "CALLS"), ("a.ts:f:1", "a.test.ts:f:2", "TESTED_BY")}
+    # a plan that resolves the calls again wherever they are read has 103 joins
+    assert joins(r.relationships()) < 12
