@@ -5,13 +5,18 @@ An index is a few DataFrames; a search joins the query's terms to the postings,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as T
+from codequarry.sources.shared import materialise
 
 #: The open interval of mutual information that expands a query, and how many terms it takes.
 PMI_ABOVE, PMI_BELOW, EXPANSIONS, EPSILON = 1.5, 20.0, 12, 2.0**-52
+#: Bounds of mutual information by which the rounds of an expansion go down to PMI_ABOVE; rounds of terms of fewer chunks than LEAST_DF are left out.
+ROUNDS, LEAST_DF = (9.0, 6.0, 3.0), 16
 #: Most rows of query terms that are broadcast.
 BROADCAST_TERMS = 200_000
 
@@ -97,24 +102,43 @@ def ngram_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     return _search(rows, wanted, False, k, "semantic")
 
 
-def expansions(chunks: DataFrame, queries: DataFrame, most: int = EXPANSIONS) -> DataFrame:
-    """query_id, rank, term, query_term, pmi: terms that share chunks with a query's terms more than chance has it.
+def expansions(chunks: DataFrame, queries: DataFrame, most: int = EXPANSIONS, rounds: tuple[float, ...] = ROUNDS) -> DataFrame:
+    """query_id, rank, term, query_term, pmi: terms that share chunks with a query's terms more than chance has it. chunks: chunks, or what split_tokens made of them.
 
-    Co-occurrences are counted only where one side is a query's term, which is all that a query looks at.
+    Co-occurrences are counted only where one side is a query's term. Two terms share no more chunks than either has, so their mutual information is at
+    most log2(chunks / df) of the more frequent one. A round counts the pairs of terms whose df is at most chunks / 2^round; a query whose last wanted
+    pair is above that bound by then can get no other, and the rest go on to the next round. The last round's bound is PMI_ABOVE, which no other pair reaches.
     """
-    words = chunks.select("chunk_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    df = words.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("query_term"))
-    at = words.join(asked.select(F.col("query_term").alias("term")).distinct(), "term", "left_semi").select("chunk_id", F.col("term").alias("query_term"))
-    together = at.join(words, "chunk_id").where("term <> query_term").groupBy("query_term", "term").agg(F.count(F.lit(1)).alias("c"))
-    n = F.broadcast(chunks.agg(F.count(F.lit(1)).alias("n")))
-    both = together.join(df, "term").join(df.select(F.col("term").alias("query_term"), F.col("df").alias("query_df")), "query_term").crossJoin(n)
-    share = lambda c: F.col(c) / F.col("n")
+    rows = chunks if "terms" in chunks.columns else split_tokens(chunks)
+    words = materialise(rows.select("chunk_id", F.explode(F.array_distinct("terms")).alias("term")), "words")
+    df = materialise(frequencies(words), "frequencies")
+    asked = materialise(queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("query_term")), "asked")
+    total, few = rows.count(), asked.count() <= BROADCAST_TERMS
+    share = lambda c: F.col(c) / F.lit(float(total))
     pmi = F.log2(F.greatest(share("c"), F.lit(EPSILON)) / F.greatest(share("query_df") * share("df"), F.lit(EPSILON)))
-    close = both.select("query_term", "term", F.round(pmi, 6).alias("pmi")).where((F.col("pmi") > PMI_ABOVE) & (F.col("pmi") < PMI_BELOW))
-    near = asked.join(close, "query_term").join(asked.select("query_id", F.col("query_term").alias("term")), ["query_id", "term"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("pmi"), "term", "query_term")
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "term", "query_term", "pmi")
+    bounds = [b for b in rounds if total / 2**b >= LEAST_DF] + [PMI_ABOVE]
+    held, left = [], asked
+    for bound in bounds:
+        limit = total / 2**bound
+        common = F.broadcast(df.where(F.col("df") > limit).select("term"))  # at most 2^bound terms for each distinct term of a mean chunk, whatever the number of chunks
+        rare = words.join(common, "term", "left_anti")
+        own = left.select(F.col("query_term").alias("term")).distinct()
+        own = F.broadcast(own) if few else own
+        at = rare.join(own, "term", "left_semi").select("chunk_id", F.col("term").alias("query_term"))
+        together = at.join(rare, "chunk_id").where("term <> query_term").groupBy("query_term", "term").agg(F.count(F.lit(1)).alias("c"))
+        both = together.join(df, "term").join(df.select(F.col("term").alias("query_term"), F.col("df").alias("query_df")), "query_term")
+        close = both.select("query_term", "term", F.round(pmi, 6).alias("pmi")).where((F.col("pmi") > PMI_ABOVE) & (F.col("pmi") < PMI_BELOW))
+        near = left.join(close, "query_term").join(asked.select("query_id", F.col("query_term").alias("term")), ["query_id", "term"], "left_anti")
+        best = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query_id", "rank", "term", "query_term", "pmi")
+        best = materialise(best, "expansions")
+        if bound == bounds[-1]:
+            return reduce(DataFrame.union, [*held, best])
+        settled = best.where((F.col("rank") == most) & (F.col("pmi") > bound + 1e-6)).select("query_id")
+        held.append(best.join(settled, "query_id", "left_semi"))
+        left = left.join(settled, "query_id", "left_anti")
+        if left.isEmpty():
+            return reduce(DataFrame.union, held)
 
 
 def expanded(queries: DataFrame, found: DataFrame) -> DataFrame:

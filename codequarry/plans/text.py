@@ -148,7 +148,7 @@ expansions AS (SELECT query_id, CAST(rank AS INTEGER) AS rank, term, query_term,
 
 @specs.query(_sql("SELECT * FROM expansions", _CHUNKS, _QUERIES, _PMI))
 def pmi_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.expansions(_chunks(spark, sf_dir), queries(spark, sf_dir))
+    return R.expansions(_tokens(spark, sf_dir), queries(spark, sf_dir))
 
 
 _EXPANDED = "plain AS (SELECT item_id AS query_id, text FROM benchmark), queries AS (SELECT p.query_id, concat_ws(' ', p.text, (SELECT string_agg(term, ' ' ORDER BY rank) FROM expansions AS e WHERE e.query_id = p.query_id)) AS text FROM plain AS p)"

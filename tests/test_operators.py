@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +212,26 @@ def test_retrieval_edges(spark):
     assert {r["query_id"] for r in retrieval.ngram_search(chunks, asked).collect()} == {1, 3, 4}
 
 
+def test_expansions_in_rounds_are_those_of_all_pairs(spark):
+    words = lambda i: ["the", f"even{i % 2}", f"third{i % 3}", f"tenth{i % 10}", f"pair{i // 2}", f"own{i}", f"mix{i * 7 % 11}"]
+    docs = spark.createDataFrame([(f"d{i}", " ".join(words(i))) for i in range(64)], "path string, text string")
+    asked = spark.createDataFrame([(1, "own5 the"), (2, "even1 third2"), (3, "the"), (4, "pair3 pair9 tenth4"), (5, "")], "query_id long, text string")
+    chunks = retrieval.chunk(docs)
+    whole = sorted(map(tuple, retrieval.expansions(chunks, asked, most=3, rounds=()).collect()))
+    df = {w: sum(w in words(i) for i in range(64)) for i in range(64) for w in words(i)}
+    best = []
+    for q, text in [(1, "own5 the"), (2, "even1 third2"), (3, "the"), (4, "pair3 pair9 tenth4")]:
+        near = []
+        for x in text.split():
+            for y in {w for w in df if w not in text.split()}:
+                c = sum(x in words(i) and y in words(i) for i in range(64))
+                if c and 1.5 < (pmi := round(math.log2(c * 64 / (df[x] * df[y])), 6)) < 20:
+                    near.append((-pmi, y, x))
+        best += [(q, k + 1, y, x, -p) for k, (p, y, x) in enumerate(sorted(near)[:3])]
+    assert whole == sorted(best)
+    assert sorted(map(tuple, retrieval.expansions(retrieval.split_tokens(chunks), asked, most=3, rounds=(2.0, 1.8)).collect())) == whole
+
+
 def test_metrics(spark):
     results = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (1, 3, "x")], "query_id long, rank int, file_path string")
     gold = spark.createDataFrame([(1, "x"), (1, "z"), (2, "x")], "query_id long, file_path string")
