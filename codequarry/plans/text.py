@@ -157,7 +157,7 @@ _EXPANDED = "plain AS (SELECT item_id AS query_id, text FROM benchmark), queries
 @specs.query(_sql("SELECT * FROM sm", _CHUNKS, _QUERIES.replace("queries AS", "asked_queries AS"), _PMI.replace("FROM queries", "FROM asked_queries"), _EXPANDED, _SEMANTIC))
 def sem_search_expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, q = _chunks(spark, sf_dir), queries(spark, sf_dir)
-    return R.ngram_search(c, R.expanded(q, R.expansions(c, q)))
+    return R.ngram_search(c, R.expanded(q, R.expansions(_tokens(spark, sf_dir), q)))
 
 
 _HYBRID = """
