@@ -8,15 +8,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators.extract import facts, scan
-from codequarry.operators.graph import first_written, placeholders
+from codequarry.operators.graph import ends, first_written
 from codequarry.operators.resolve import Resolver
 from codequarry.sources.files import read_tree
 from codequarry.sources.shared import materialise
 
+#: The kind of node written last.
+PLACEHOLDER = 5
 _NODE = {"kind": "string", "file_path": "string", "start_line": "int", "end_line": "int"}
 
 
-def _nodes(df: DataFrame, node_type: str, order: int, key: str, name: Column, is_test: bool | Column = False, **columns: Column) -> DataFrame:
+def _nodes(df: DataFrame, node_type: str | Column, order: int, key: str, name: Column, is_test: bool | Column = False, **columns: Column) -> DataFrame:
     flag = is_test if isinstance(is_test, Column) else F.lit(is_test)
     exported = columns.pop("is_exported", F.lit(False))
     rest = [columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in _NODE.items()]
@@ -26,7 +28,8 @@ def _nodes(df: DataFrame, node_type: str, order: int, key: str, name: Column, is
 def graph_of(label: str, scanned: DataFrame, with_contains: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, relationships, errors) of scanned files.
 
-    Of nodes with one id the first kind written stays: snapshot, file, symbol, test, marker. Ends of relationships that no node has become placeholders.
+    Of nodes with one id the first kind written stays: snapshot, file, symbol, test, marker. Ends of relationships that no node has become placeholders:
+    ends are the kind written last, so that no plan holds the nodes twice.
     CONTAINS edges from files to their symbols are made only if asked for.
     """
     spark = scanned.sparkSession
@@ -41,14 +44,13 @@ def graph_of(label: str, scanned: DataFrame, with_contains: bool = False) -> tup
         _nodes(f.tests, "Test", 3, "test_id", F.col("test_name"), True, **line),
         _nodes(marks, "TodoMarker", 4, "id", F.col("text"), kind=F.col("marker_type"), file_path=F.col("file_path"), start_line=F.col("line"), end_line=F.col("line")),
     ]
-    nodes = first_written(reduce(DataFrame.unionByName, found)).drop("ord")
     edges = r.relationships()
     if with_contains:
         edges = edges.union(f.symbols.select("file_path", "symbol_id", F.lit("CONTAINS"), F.lit(None).cast("int")))
     edges = materialise(edges, "relationships")
-    lacking = placeholders(nodes, edges)
-    made = _nodes(lacking, "Symbol", 5, "id", F.col("id")).drop("ord", "node_type").join(lacking, "id").select(*nodes.columns)
-    nodes = nodes.withColumn("props", F.create_map().cast("map<string,string>")).unionByName(made.withColumn("props", F.create_map(F.lit("placeholder"), F.lit("true"))))
+    found.append(_nodes(ends(edges).where("id IS NOT NULL"), F.col("node_type"), PLACEHOLDER, "id", F.col("id")))
+    props = F.when(F.col("ord") == PLACEHOLDER, F.create_map(F.lit("placeholder"), F.lit("true"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = first_written(reduce(DataFrame.unionByName, found)).withColumn("props", props).drop("ord")
     return nodes, edges, r.errors()
 
 

@@ -115,11 +115,15 @@ def first_written(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_n = 1").drop("_n")
 
 
+def ends(relationships: DataFrame) -> DataFrame:
+    """id, node_type, one row for each end of an edge: files by their extension, symbols otherwise."""
+    both = relationships.select("from_id").union(relationships.select("to_id")).toDF("id")
+    return both.select("id", F.when(F.col("id").rlike(r"\.(ts|js|jsx|tsx)$"), "File").otherwise("Symbol").alias("node_type"))
+
+
 def placeholders(nodes: DataFrame, relationships: DataFrame) -> DataFrame:
-    """id, node_type of edge ends that no node has: files by their extension, symbols otherwise."""
-    ends = relationships.select("from_id").union(relationships.select("to_id")).toDF("id").distinct()
-    is_file = F.col("id").rlike(r"\.(ts|js|jsx|tsx)$")
-    return ends.join(nodes.select("id"), "id", "left_anti").select("id", F.when(is_file, "File").otherwise("Symbol").alias("node_type"))
+    """id, node_type of edge ends that no node has."""
+    return ends(relationships).distinct().join(nodes.select("id"), "id", "left_anti")
 
 
 def scaled(nodes: DataFrame, relationships: DataFrame, scale: int, crossing: int = 2) -> tuple[DataFrame, DataFrame]:

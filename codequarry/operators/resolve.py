@@ -58,7 +58,7 @@ class Facts:
 class Resolver:
     """Resolves one set of facts. Each property is a DataFrame.
 
-    What several results read (targets of specifiers, the export map, calls) is written once, so that no plan holds another's joins and windows again:
+    What several steps read (targets of specifiers, own exports, the export map, methods, calls) is written once, so that no plan holds another's joins and windows again:
     the driver keeps the plan, code and stages of one step at a time.
     """
 
@@ -92,12 +92,14 @@ class Resolver:
         is_it = (F.col("s_file") == F.col("file_path")) & ((F.col("name") == F.col("local_name")) | ((F.col("export_type") == "default") & (F.col("name") == F.col("symbol_name"))))
         own = first_by(own.join(symbols, is_it), ["file_path", "at"], F.col("s_ord"))
         names = F.when(F.col("export_type") == "default", F.array("symbol_name", F.lit("default"))).otherwise(F.array("symbol_name"))
-        own = own.select("file_path", F.explode(F.array_distinct(names)).alias("name"), "symbol_id", F.lit(0).alias("star"), (-F.col("at")).alias("rank"))
+        own = materialise(own.select("file_path", F.explode(F.array_distinct(names)).alias("name"), "symbol_id", F.lit(0).alias("star"), (-F.col("at")).alias("rank")), "own-exports")
 
         passed = f.exports.where("source_specifier IS NOT NULL").select("file_path", F.col("source_specifier").alias("specifier"), "symbol_name", F.coalesce("source_name", "symbol_name").alias("source_name"), F.col("ord").alias("at"))
         passed = passed.join(self.specifiers(), ["file_path", "specifier"])
         passed = materialise(passed.select("file_path", "target", "symbol_name", "source_name", "at"), "re-exports")
         now = materialise(self._settled(own), "export-map")
+        if passed.isEmpty():
+            return now
         seen, kept = [state(now)], False
         while True:
             source = now.select(F.col("file_path").alias("target"), F.col("name").alias("source_name"), "symbol_id")
@@ -147,7 +149,8 @@ class Resolver:
         classes = s.where("kind = 'class'").select("file_path", F.col("symbol_id").alias("class_id"), F.col("name").alias("class_name"), F.col("ord").alias("class_ord"), "start_line", "end_line")
         methods = s.where("kind = 'method'").select("file_path", F.col("name").alias("method"), "symbol_id", "ord", F.col("start_line").alias("line"), F.col("end_line").alias("m_to"))
         within = inside(methods, classes).where("m_to <= end_line")
-        return first_by(within, ["file_path", "class_id", "method"], F.col("ord")).select("file_path", "class_name", "class_ord", "method", "symbol_id")
+        found = first_by(within, ["file_path", "class_id", "method"], F.col("ord")).select("file_path", "class_name", "class_ord", "method", "symbol_id")
+        return materialise(found, "methods")
 
     @cached_property
     def calls(self) -> DataFrame:

@@ -48,3 +48,16 @@ def test_relationships_resolve_calls_once(spark):
     assert {tuple(x)[:3] for x in r.relationships().collect()} >= {("a.test.ts:__module__:1", "a.ts:f:1", "CALLS"), ("a.ts:f:1", "a.test.ts:f:2", "TESTED_BY")}
     # a plan that resolves the calls again wherever they are read has 103 joins
     assert joins(r.relationships()) < 12
+
+
+def test_nodes_plan_holds_each_table_once(spark):
+    files = spark.createDataFrame([("a.ts", "export function f() {\n  return 1;\n}\n"), ("a.test.ts", "import { f } from './a';\nf();\nf();\ntest('f', () => {\n  f();\n});\n")], "path string, text string")
+    nodes, edges, _ = assemble.graph_of("demo", materialise(extract.scan(files), "scanned"))
+    assert edges.where("from_id = 'a.test.ts:__module__:1'").count() == 3
+    found = sorted((r["id"], r["node_type"], r["kind"], r["is_exported"], r["is_test"], r["props"].get("placeholder")) for r in nodes.collect())
+    assert found == [
+        ("a.test.ts", "File", None, False, True, None), ("a.test.ts:__module__:1", "Symbol", None, False, False, "true"), ("a.test.ts:f:4", "Test", None, False, True, None), ("a.test.ts:file", "Symbol", None, False, False, "true"),
+        ("a.ts", "File", None, False, False, None), ("a.ts:f:1", "Symbol", "function", True, False, None), ("repo:demo", "RepositorySnapshot", None, False, False, None),
+    ]
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 1 and plan.count("Join ") <= 3
